@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexispark.llm import textform
+from lexispark.llm import neardup, textform
 from lexispark.session import materialize, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -36,3 +36,9 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p2_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The consistent form of every title, with the class of documents that share it."""
     return textform.form_classes(table(spark, sf_dir, "goods_doc"))
+
+
+@query()
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of documents whose titles differ by small edits: at least 65 % of their pieces in common."""
+    return neardup.document_pairs(table(spark, sf_dir, "goods_doc"))
