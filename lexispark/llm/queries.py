@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexispark.llm import neardup, textform
+from lexispark.llm import distinct_weight, neardup, termcount, textform
 from lexispark.session import materialize, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -42,3 +42,50 @@ def p2_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of documents whose titles differ by small edits: at least 65 % of their pieces in common."""
     return neardup.document_pairs(table(spark, sf_dir, "goods_doc"))
+
+
+_ONCE = """
+WITH once AS (SELECT field, term, doc_id, coalesce(max(frequency), 0)::BIGINT AS frequency FROM postings
+              WHERE term IS NOT NULL AND field IS NOT NULL AND doc_id IS NOT NULL GROUP BY ALL),
+"""
+_TERMS = _ONCE + """
+docs AS (SELECT field, count(DISTINCT doc_id) AS n FROM once GROUP BY field),
+counts AS (SELECT field, term, sum(frequency)::BIGINT AS occurrences, count(*) AS documents FROM once GROUP BY field, term),
+marked AS (SELECT c.*, CASE WHEN documents * 100 > n * 20 THEN 'common' WHEN documents <= 1 THEN 'rare' END AS mark FROM counts c JOIN docs USING (field))
+"""
+
+
+@query(_TERMS + "SELECT field, term, mark FROM marked WHERE mark IS NOT NULL")
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Terms too common or too rare to help a search."""
+    return termcount.marked_terms(table(spark, sf_dir, "postings")).where("mark IS NOT NULL").select("field", "term", "mark")
+
+
+@query(_TERMS + "SELECT * FROM marked")
+def p1_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Occurrences and documents of every distinct term."""
+    return termcount.marked_terms(table(spark, sf_dir, "postings"))
+
+
+_TITLE = _ONCE + "title AS (SELECT * FROM once WHERE field = 'title' AND frequency > 0), docs AS (SELECT count(DISTINCT doc_id) AS docs FROM title), "
+
+
+@query(
+    _TITLE
+    + """stats AS (SELECT term, count(*) AS n FROM title GROUP BY term)
+SELECT doc_id, term FROM title JOIN stats USING (term), docs
+WHERE n >= 2 AND frequency * (1.0::DOUBLE - ln(n::DOUBLE) / ln(docs::DOUBLE)) >= 2.2"""
+)
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Title terms that mark their document: raw local weight times one minus normalised entropy of an even spread."""
+    return distinct_weight.log_entropy(table(spark, sf_dir, "postings"), local="raw", spread="documents", least=2.2, least_documents=2).select("doc_id", "term")
+
+
+@query(
+    _TITLE
+    + """stats AS (SELECT term, sum(frequency)::DOUBLE AS gf, sum(frequency * ln(frequency::DOUBLE)) AS tlt FROM title GROUP BY term)
+SELECT doc_id, term, round(ln(1 + frequency::DOUBLE) * (1 - greatest(0, ln(gf) - tlt / gf) / ln(docs::DOUBLE)), 6) AS score FROM title JOIN stats USING (term), docs"""
+)
+def p5_log_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log-entropy weight of every title posting."""
+    return distinct_weight.log_entropy(table(spark, sf_dir, "postings")).select("doc_id", "term", F.round("score", 6).alias("score"))
