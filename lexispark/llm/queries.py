@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexispark.llm import distinct_weight, neardup, termcount, textform
+from lexispark.llm import bpe, distinct_weight, neardup, packing, reading, termcount, textform
 from lexispark.session import materialize, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -89,3 +89,52 @@ SELECT doc_id, term, round(ln(1 + frequency::DOUBLE) * (1 - greatest(0, ln(gf) -
 def p5_log_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Log-entropy weight of every title posting."""
     return distinct_weight.log_entropy(table(spark, sf_dir, "postings")).select("doc_id", "term", F.round("score", 6).alias("score"))
+
+
+@query()
+def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of every text."""
+    return bpe.encode_texts(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+@query("SELECT doc_id, coalesce(text, '') AS text FROM documents")
+def p7_decoded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text, encoded and decoded again."""
+    return bpe.decode_ids(bpe.encode_texts(table(spark, sf_dir, "documents"), "doc_id", "text"), "doc_id")
+
+
+def _capacities(spark: SparkSession, sf_dir: str) -> list[tuple[int, int]]:
+    return [(r.capacity_id, r.capacity_tokens) for r in table(spark, sf_dir, "pack_capacity").select("capacity_id", "capacity_tokens").collect()]
+
+
+@query()
+def p8_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text assigned to containers, for each capacity."""
+    sizes = bpe.encode_texts(table(spark, sf_dir, "documents"), "doc_id", "text", counts_only=True)
+    return packing.pack(materialize(sizes, "sizes"), "doc_id", _capacities(spark, sf_dir))
+
+
+@query()
+def p8_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How full the containers of each capacity are."""
+    return packing.fill(p8_packed(spark, sf_dir), _capacities(spark, sf_dir))
+
+
+_LIX = rf"""
+WITH parts AS (SELECT doc_id, text, regexp_extract_all(text, '\p{{L}}+') AS w,
+    len(list_filter(regexp_split_to_array(text, '{reading.SENTENCE_END}'), lambda x: regexp_matches(x, '\p{{L}}'))) AS n_sentences FROM documents WHERE text IS NOT NULL),
+lix AS (SELECT doc_id, n_sentences, len(w) AS n_words, len(w)::DOUBLE / n_sentences + len(regexp_extract_all(text, '\p{{L}}{{{reading.LONG + 1},}}')) * 100.0::DOUBLE / len(w) AS lix,
+    NOT regexp_matches(text, '{reading.HAN}') AND len(w) >= {reading.LEAST_WORDS} AS graded FROM parts)
+"""
+
+
+@query(_LIX + "SELECT doc_id FROM lix WHERE graded AND lix >= 55")
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Demanding texts."""
+    return reading.demanding(reading.reading_levels(table(spark, sf_dir, "documents")))
+
+
+@query()
+def p9_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predicted reading level of every text."""
+    return reading.reading_levels(table(spark, sf_dir, "documents")).select("doc_id", F.round("level", 4).alias("level"), "graded")
