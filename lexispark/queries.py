@@ -2,14 +2,25 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lexispark.fields import DOUBLE, KEY, STRING, FieldSpec
+from lexispark.functions import numeric
+from lexispark.functions import text as tx
+from lexispark.functions.scoring import average_length
+from lexispark.functions.segment import segment_paths, segment_runs
+from lexispark.operators.index import Analyzer, Index, as_documents, build_index, duplicate_keys
+from lexispark.operators.searcher import Searcher
 from lexispark.operators.skew import heavy_keys, key_counts
-from lexispark.session import table
+from lexispark.operators.store import IndexStore, merge_indexes
+from lexispark.plans.query import MUST, SHOULD, BooleanQuery, NumericRangeQuery, StringQuery, TermQuery
+from lexispark.session import shared_dir, table
 from lexispark.sources.records import parse_records
+from lexispark.sources.tsv import load_words, parse_goods
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -82,3 +93,414 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p6_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Postings and occurrences of every term and every document."""
     return key_counts(table(spark, sf_dir, "postings")).where("key_kind <> 'all'")
+
+
+# --- Text ---------------------------------------------------------------------------------------------------
+
+_WIDE_SQL, _HALF_SQL = tx.WIDE, tx.HALF.replace("'", "''")
+
+
+def _normal_sql(value: str) -> str:
+    half = f"translate(coalesce({value}, ''), '{_WIDE_SQL}', '{_HALF_SQL}')"
+    return rf"regexp_replace(regexp_replace(lower({half}), '{tx.ASTRAL}', '  ', 'g'), '{tx.DROPPED}', ' ', 'g')"
+
+
+def _postings_sql(source: str, key: str, value: str, field: str) -> str:
+    """CTEs tokens, postings and field statistics of one text column, without a dictionary."""
+    return rf"""
+docs AS (SELECT {key} AS doc_id, {value} AS value FROM {source} WHERE {value} IS NOT NULL),
+tokens AS (SELECT doc_id, value, unnest(regexp_extract_all({_normal_sql('value')}, '{tx.TOKEN}')) AS token FROM docs),
+terms AS (SELECT doc_id, length(value) + length(regexp_replace(value, '[^\x{{10000}}-\x{{10FFFF}}]', '', 'g')) AS dl,
+    unnest(CASE WHEN regexp_matches(token, '{tx.PLAIN}') THEN [token] ELSE string_split(substr(token, 1, {tx.LONGEST_RUN}), '') END) AS term FROM tokens),
+postings AS (SELECT '{field}' AS field, term, doc_id, count(*)::INT AS tf, dl::INT AS dl FROM terms GROUP BY term, doc_id, dl),
+stats AS (SELECT sum(length(value) + length(regexp_replace(value, '[^\x{{10000}}-\x{{10FFFF}}]', '', 'g')))::BIGINT AS len_sum, count(*) AS doc_count FROM docs)"""
+
+
+def _scores_sql(dead: str = "SELECT NULL::BIGINT AS doc_id WHERE false", key: str = "p_partkey", source: str = "part") -> str:
+    """CTE scored(term, doc_id, score) after the CTEs of ``_postings_sql``."""
+    return f"""
+dead AS ({dead}),
+live AS (SELECT count(*) AS n FROM {source} WHERE {key} NOT IN (SELECT doc_id FROM dead)),
+dfs AS (SELECT term, count(*) AS df FROM postings GROUP BY term),
+inputs AS (SELECT term, doc_id, tf, dl, df, n, CAST(len_sum // doc_count AS FLOAT) AS avgdl FROM postings JOIN dfs USING (term), stats, live
+  WHERE doc_id NOT IN (SELECT doc_id FROM dead)),
+parts AS (SELECT *, CAST(ln(CAST(1 AS FLOAT) + CAST((CAST(n - df AS FLOAT) + CAST(0.5 AS FLOAT)) / (CAST(df AS FLOAT) + CAST(0.5 AS FLOAT)) AS FLOAT)) AS FLOAT) AS idf,
+  CAST(tf AS FLOAT) + CAST(1.2 AS FLOAT) * (CAST(0.25 AS FLOAT) + CAST(0.75 AS FLOAT) * CAST(CAST(dl AS FLOAT) / avgdl AS FLOAT)) AS norm FROM inputs),
+scored AS (SELECT term, doc_id, CASE WHEN avgdl = 0 THEN CAST(0 AS FLOAT) ELSE CAST(idf * CAST((CAST(tf AS FLOAT) * CAST(2.2 AS FLOAT)) / norm AS FLOAT) AS FLOAT) END AS score FROM parts)"""
+
+
+def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", "text")
+
+
+def _text_index(spark: SparkSession, sf_dir: str) -> Index:
+    return build_index(_documents(spark, sf_dir), "doc_id")
+
+
+def _part_index(spark: SparkSession, sf_dir: str) -> Index:
+    """Part names and prices as the product corpus."""
+    part = table(spark, sf_dir, "part")
+    goods = part.select("p_partkey", F.col("p_name").alias("title"), F.col("p_retailprice").alias("price"), F.col("p_name").alias("descript"), F.col("p_retailprice").alias("digt"))
+    specs = [FieldSpec("p_partkey", KEY, False), FieldSpec("title", STRING), FieldSpec("price", DOUBLE), FieldSpec("descript", STRING, False), FieldSpec("digt", DOUBLE, False)]
+    return build_index(goods, "p_partkey", specs)
+
+
+_TEXT = "WITH " + _postings_sql("documents", "doc_id", "text", "text")
+_PART = "WITH " + _postings_sql("part", "p_partkey", "p_name", "title")
+_TITLES = "WITH " + _postings_sql("(SELECT unique_id, min(title) AS title FROM goods_doc WHERE title IS NOT NULL GROUP BY unique_id)", "unique_id", "title", "title")
+
+
+@query(f"SELECT doc_id, {_normal_sql('text')} AS normalized FROM documents")
+def normalize_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F1-F6 over every text."""
+    return _documents(spark, sf_dir).select("doc_id", tx.normalize(F.col("text")).alias("normalized"))
+
+
+@query("SELECT * FROM (VALUES ('Ａｂｃ　１２', 'abc 12'), ('臺灣', '台湾'), ('Hello,  world!' || chr(10) || 'foo', 'hello   world  foo'), ('C++ 11', 'c   11'), ('a、b', 'a b'), ('', '')) AS t(value, normalized)")
+def normalize_golden(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F1-F6 with simplified characters and a punctuation list."""
+    rows = [("Ａｂｃ　１２",), ("臺灣",), ("Hello,  world!\nfoo",), ("C++ 11",), ("a、b",), ("",)]
+    return spark.createDataFrame(rows, "value string").select("value", tx.normalize(F.col("value"), tx.simplified_characters(), "、").alias("normalized"))
+
+
+@query(_TEXT + " SELECT doc_id, token, count(*) AS n FROM tokens GROUP BY doc_id, token")
+def analyze_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every text, with their number."""
+    tokens = _documents(spark, sf_dir).select("doc_id", F.explode(tx.tokens(tx.normalize(F.col("text")))).alias("token"))
+    return tokens.groupBy("doc_id", "token").agg(F.count("*").alias("n"))
+
+
+@query(rf"""WITH parts AS (SELECT p_partkey AS doc_id, regexp_extract_all({_normal_sql('p_name')}, '{tx.TOKEN}| ') AS all_parts FROM part),
+numbered AS (SELECT doc_id, unnest(all_parts) AS token, generate_subscripts(all_parts, 1) AS ord FROM parts),
+placed AS (SELECT doc_id, token, coalesce(sum(length(token)) OVER (PARTITION BY doc_id ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS pos FROM numbered)
+SELECT doc_id, token, pos FROM placed WHERE token <> ' '""")
+def term_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every part name with their places."""
+    parts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc_id"), F.posexplode(tx.tokens_with_gaps(tx.normalize(F.col("p_name")))).alias("at", "token"))
+    before = Window.partitionBy("doc_id").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+    return parts.select("doc_id", "token", F.coalesce(F.sum(F.length("token")).over(before), F.lit(0)).alias("pos")).where("token <> ' '")
+
+
+@query("SELECT * FROM (VALUES ('iPhone 14 Pro-Max 3.5kg', 'iphone@0 14@7 pro-max@10 3.5@18 kg@21'), ('étion de', 'é@0 tion@1 de@6'), ('-5 .net a-中b', '-@0 5@1 .@3 n@4 e@5 t@6 a-中@8 b@11'), ('v2.0-beta1', 'v@0 2.0-beta@1 1@9'), ('That it.', 'that@0 it.@5'), ('a__b', 'a@0 b@3')) AS t(value, terms)")
+def analyze_golden(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Terms and places of query strings, as the driver analyses them."""
+    texts = ["iPhone 14 Pro-Max 3.5kg", "étion de", "-5 .net a-中b", "v2.0-beta1", "That it.", "a__b"]
+    return spark.createDataFrame([(t, " ".join(f"{x}@{p}" for x, p in Analyzer().terms_python(t))) for t in texts], "value string, terms string")
+
+
+# --- Index --------------------------------------------------------------------------------------------------
+
+
+@query(_TEXT + " SELECT field, term, doc_id, tf, dl FROM postings")
+def postings_tf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The inverted index of every text."""
+    return _text_index(spark, sf_dir).postings
+
+
+@query(_TITLES + " SELECT field, term, doc_id, tf, dl FROM postings")
+def postings_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The inverted index of every product title, Han characters one by one."""
+    goods = table(spark, sf_dir, "goods_doc").where("title IS NOT NULL").groupBy("unique_id").agg(F.min("title").alias("title"))
+    return build_index(goods, "unique_id").postings
+
+
+@query(_TEXT + " SELECT field, term, count(*) AS df, sum(tf)::BIGINT AS occurrences FROM postings GROUP BY field, term")
+def term_df(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Document frequency of every term."""
+    return _text_index(spark, sf_dir).postings.groupBy("field", "term").agg(F.count("*").alias("df"), F.sum("tf").alias("occurrences"))
+
+
+@query("""SELECT 'text' AS field, 'string' AS type, sum(length(text) + length(regexp_replace(text, '[^\\x{10000}-\\x{10FFFF}]', '', 'g')))::BIGINT AS len_sum, count(text) AS doc_count FROM documents
+UNION ALL SELECT 'doc_id', 'key', 8 * count(*)::BIGINT, count(*) FROM documents""")
+def field_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Length sums and document counts of all fields."""
+    return _text_index(spark, sf_dir).stats
+
+
+@query(_TEXT + " SELECT (len_sum // doc_count)::FLOAT AS avgdl, doc_count FROM stats")
+def average_field_length(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Floored average length of the texts."""
+    return _text_index(spark, sf_dir).stats.where("field = 'text'").select(average_length(F.col("len_sum"), F.col("doc_count")).alias("avgdl"), "doc_count")
+
+
+# --- Search -------------------------------------------------------------------------------------------------
+
+
+@query(_TEXT + "," + _scores_sql(key="doc_id", source="documents") + " SELECT doc_id, score FROM scored WHERE term = 'the'")
+def term_query_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return Searcher(_text_index(spark, sf_dir)).search(TermQuery("text", "the"))
+
+
+@query(_TEXT + "," + _scores_sql(key="doc_id", source="documents") + " SELECT doc_id, score FROM scored WHERE term = 'the' ORDER BY score DESC, doc_id LIMIT 10")
+def term_query_top10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return Searcher(_text_index(spark, sf_dir)).search(TermQuery("text", "the"), 10)
+
+
+@query("SELECT NULL::BIGINT AS doc_id, NULL::FLOAT AS score WHERE false")
+def term_query_unknown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Terms are not analysed, so a capital finds nothing; neither does an unknown field."""
+    search = Searcher(_text_index(spark, sf_dir))
+    return search.search(TermQuery("text", "The")).unionByName(search.search(TermQuery("nothing", "the")))
+
+
+def _string_sql(weights: dict[str, int], complete: bool = True) -> str:
+    names = ", ".join(f"('{t}', {w}, {i})" for i, (t, w) in enumerate(weights.items()))
+    rest = f"""asked(term, times, ord) AS (VALUES {names}),
+joined AS (SELECT doc_id, score, times, ord FROM scored JOIN asked USING (term)),
+by_doc AS (SELECT doc_id, count(*) AS have, CAST(sum(CAST(score AS DOUBLE) * times) AS FLOAT) AS every, arg_min(score, ord) AS first FROM joined GROUP BY doc_id)"""
+    return rest + (f" SELECT doc_id, every AS score FROM by_doc WHERE have = {len(weights)}" if complete else " SELECT doc_id, first AS score FROM by_doc")
+
+
+_PART_SCORES = _PART + "," + _scores_sql()
+
+
+@query(_PART_SCORES + "," + _string_sql({"red": 1, "widget": 1}))
+def string_query_and(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return Searcher(_part_index(spark, sf_dir)).search(StringQuery("title", "Red widget"))
+
+
+@query(_PART_SCORES + "," + _string_sql({"red": 1, "blue": 1}, complete=False))
+def string_query_or_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """No part is red and blue."""
+    return Searcher(_part_index(spark, sf_dir)).search(StringQuery("title", "red blue"))
+
+
+@query(_PART_SCORES + "," + _string_sql({"red": 2}))
+def string_query_repeated_term(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return Searcher(_part_index(spark, sf_dir)).search(StringQuery("title", "red red"))
+
+
+_RED = "red AS (SELECT doc_id, score FROM scored WHERE term = 'red'), widget AS (SELECT doc_id, score FROM scored WHERE term = 'widget'), blue AS (SELECT doc_id, score FROM scored WHERE term = 'blue')"
+
+
+@query(f"{_PART_SCORES}, {_RED} SELECT doc_id, CAST(r.score::DOUBLE + w.score::DOUBLE AS FLOAT) AS score FROM red r JOIN widget w USING (doc_id)")
+def bool_must(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return Searcher(_part_index(spark, sf_dir)).search(BooleanQuery(MUST, TermQuery("title", "red"), TermQuery("title", "widget")))
+
+
+@query(f"{_PART_SCORES}, {_RED} SELECT doc_id, coalesce(r.score, w.score) AS score FROM red r FULL JOIN widget w USING (doc_id)")
+def bool_should_first_clause(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return Searcher(_part_index(spark, sf_dir)).search(BooleanQuery(SHOULD, TermQuery("title", "red"), TermQuery("title", "widget")))
+
+
+@query(f"""{_PART_SCORES}, {_RED}, colour AS (SELECT doc_id, coalesce(r.score, b.score) AS score FROM red r FULL JOIN blue b USING (doc_id))
+SELECT doc_id, CAST(c.score::DOUBLE + w.score::DOUBLE AS FLOAT) AS score FROM colour c JOIN widget w USING (doc_id)""")
+def bool_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
+    colour = BooleanQuery(SHOULD, TermQuery("title", "red"), TermQuery("title", "blue"))
+    return Searcher(_part_index(spark, sf_dir)).search(BooleanQuery(MUST, colour, TermQuery("title", "widget")))
+
+
+@query(f"{_PART_SCORES}, {_RED} SELECT doc_id, score FROM widget JOIN part ON p_partkey = doc_id WHERE p_retailprice BETWEEN 905 AND 920")
+def bool_term_and_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return Searcher(_part_index(spark, sf_dir)).search(BooleanQuery(MUST, TermQuery("title", "widget"), NumericRangeQuery("price", 905, 920)))
+
+
+@query(f"{_PART_SCORES}, {_RED} SELECT doc_id, score FROM widget WHERE doc_id NOT IN (SELECT doc_id FROM red)")
+def bool_must_not(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An extension."""
+    return Searcher(_part_index(spark, sf_dir)).search(BooleanQuery(MUST, TermQuery("title", "widget"), must_not=(TermQuery("title", "red"),)))
+
+
+@query("SELECT p_partkey AS doc_id, 0::FLOAT AS score FROM part WHERE p_retailprice BETWEEN 910 AND 930")
+def range_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return Searcher(_part_index(spark, sf_dir)).search(NumericRangeQuery("price", 910, 930))
+
+
+@query("SELECT p_partkey AS doc_id, 0::FLOAT AS score FROM part WHERE p_retailprice BETWEEN 910 AND 930 ORDER BY p_retailprice, p_partkey LIMIT 25")
+def range_smallest_n(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return Searcher(_part_index(spark, sf_dir)).search(NumericRangeQuery("price", 910, 930), 25)
+
+
+@query("SELECT NULL::BIGINT AS doc_id, NULL::FLOAT AS score WHERE false")
+def range_inverted_empty(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return Searcher(_part_index(spark, sf_dir)).search(NumericRangeQuery("price", 930, 910))
+
+
+@query("SELECT c_custkey AS doc_id, 0::FLOAT AS score FROM customer WHERE c_acctbal BETWEEN -500 AND 500")
+def range_mixed_sign(spark: SparkSession, sf_dir: str) -> DataFrame:
+    customers = table(spark, sf_dir, "customer").select("c_custkey", "c_acctbal")
+    return Searcher(build_index(customers, "c_custkey")).search(NumericRangeQuery("c_acctbal", -500, 500))
+
+
+_RANGES = [(i, 1.0 + (i * 37 % 79), 21.0 + (i * 37 % 79)) for i in range(32)]
+_RANGES_SQL = ", ".join(f"({q}, {a}, {b})" for q, a, b in _RANGES)
+
+
+@query(f"""WITH asked(qid, lower, upper) AS (VALUES {_RANGES_SQL}),
+hits AS (SELECT qid, p_partkey AS doc_id, p_retailprice - 899 AS value FROM part JOIN asked ON p_retailprice - 899 BETWEEN lower AND upper),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY value, doc_id) AS rank FROM hits) SELECT qid, doc_id, value, rank::INT AS rank FROM ranked WHERE rank <= 500""")
+def range_workload_32(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """32 ranges of width 20 in [1, 100], the 500 smallest of each, in one job."""
+    part = table(spark, sf_dir, "part").select("p_partkey", (F.col("p_retailprice") - 899).alias("price"))
+    ranges = spark.createDataFrame(_RANGES, "qid int, lower double, upper double")
+    return Searcher(build_index(part, "p_partkey")).search_many_ranges(ranges, "price", 20.0, 500)
+
+
+_WORDS = ["red", "blue", "green", "small", "large", "widget", "bolt", "ring", "gear", "plate", "valve", "nut", "steel", "brass", "tin", "copper"]
+_MANY_SQL = ", ".join(f"({i}, '{w}')" for i, w in enumerate(_WORDS * 2))
+
+
+@query(f"""{_PART_SCORES}, asked(qid, term) AS (VALUES {_MANY_SQL}),
+ranked AS (SELECT qid, doc_id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS rank FROM scored JOIN asked USING (term))
+SELECT qid, doc_id, score, rank::INT AS rank FROM ranked WHERE rank <= 500""")
+def search_many_32(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """32 term queries, the 500 best of each, in one job."""
+    asked = spark.createDataFrame([(i, "title", w) for i, w in enumerate(_WORDS * 2)], "qid int, field string, term string")
+    return Searcher(_part_index(spark, sf_dir)).search_many_terms(asked, 500)
+
+
+_PHRASES = [(i, f"{a} {b}") for i, (a, b) in enumerate((a, b) for a in _WORDS[:8] for b in _WORDS[5:9])]
+_PHRASES_SQL = ", ".join(f"({i}, '{p}')" for i, p in _PHRASES)
+
+
+@query(f"""{_PART_SCORES}, phrases(qid, text) AS (VALUES {_PHRASES_SQL}),
+words AS (SELECT qid, unnest(string_split(text, ' ')) AS term, generate_subscripts(string_split(text, ' '), 1) AS ord FROM phrases),
+asked AS (SELECT qid, term, count(*) AS times, min(ord) AS first FROM words GROUP BY qid, term),
+sizes AS (SELECT qid, count(*) AS terms FROM asked GROUP BY qid),
+by_doc AS (SELECT qid, doc_id, count(*) AS have, CAST(sum(CAST(score AS DOUBLE) * times) AS FLOAT) AS every, arg_min(score, first) AS firsthit FROM asked JOIN scored USING (term) GROUP BY qid, doc_id),
+chosen AS (SELECT b.*, max(have) OVER (PARTITION BY qid) = terms AS complete, terms FROM by_doc b JOIN sizes USING (qid)),
+hits AS (SELECT qid, doc_id, CASE WHEN complete THEN every ELSE firsthit END AS score FROM chosen WHERE NOT complete OR have = terms),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS rank FROM hits) SELECT qid, doc_id, score, rank::INT AS rank FROM ranked WHERE rank <= 500""")
+def search_many_strings_32(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """32 analysed string queries with their fallback, the 500 best of each, in one job."""
+    asked = spark.createDataFrame([(i, "title", p) for i, p in _PHRASES], "qid int, field string, text string")
+    return Searcher(_part_index(spark, sf_dir)).search_many_strings(asked, 500)
+
+
+_STORED = "p_name AS title, p_retailprice AS price, p_name AS descript, p_retailprice AS digt"
+
+
+@query(f"{_PART_SCORES}, best AS (SELECT doc_id, score FROM scored WHERE term = 'widget' ORDER BY score DESC, doc_id LIMIT 10) SELECT doc_id, {_STORED}, score FROM best JOIN part ON p_partkey = doc_id")
+def fetch_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return Searcher(_part_index(spark, sf_dir)).fetch(TermQuery("title", "widget"), 10)
+
+
+@query(f"SELECT p_partkey AS doc_id, {_STORED}, 0::FLOAT AS score FROM part WHERE p_retailprice BETWEEN 905.7 AND 918.56")
+def stored_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents of a range, to be sorted by price on the caller's side."""
+    search = Searcher(_part_index(spark, sf_dir))
+    return search.docs(search.search(NumericRangeQuery("price", 905.7, 918.56))).orderBy("price", "doc_id")
+
+
+@query("SELECT p_partkey AS doc_id, '{\"title\":\"' || p_name || '\",\"kind\":\"' || p_type || '\",\"score\":0.0}' AS json FROM part WHERE p_retailprice <= 905")
+def docs_as_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = table(spark, sf_dir, "part").select("p_partkey", F.col("p_name").alias("title"), F.col("p_type").alias("kind"), F.col("p_retailprice").alias("price"))
+    specs = [FieldSpec("p_partkey", KEY, False), FieldSpec("title", STRING), FieldSpec("kind", STRING, False), FieldSpec("price", DOUBLE, True, False)]
+    search = Searcher(build_index(part, "p_partkey", specs))
+    return search.json(search.docs(search.search(NumericRangeQuery("price", -1, 905))))
+
+
+# --- Deletes, keys, segments --------------------------------------------------------------------------------
+
+_DEAD = "SELECT o_custkey AS doc_id FROM orders WHERE o_orderkey % 7 = 0 AND o_custkey IN (SELECT p_partkey FROM part)"
+
+
+def _with_deletes(spark: SparkSession, sf_dir: str) -> Index:
+    dead = table(spark, sf_dir, "orders").where("o_orderkey % 7 = 0").select(F.col("o_custkey").alias("doc_id"))
+    return _part_index(spark, sf_dir).with_deletes(dead)
+
+
+@query(f"{_PART},{_scores_sql(_DEAD)} SELECT doc_id, score FROM scored WHERE term = 'widget'")
+def bm25_after_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Live documents count in n, deleted postings still in df."""
+    return Searcher(_with_deletes(spark, sf_dir)).search(TermQuery("title", "widget"))
+
+
+@query(f"SELECT p_partkey AS doc_id, {_STORED}, 0::FLOAT AS score FROM part WHERE p_retailprice BETWEEN 910 AND 930 AND p_partkey NOT IN ({_DEAD})")
+def delete_then_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    search = Searcher(_with_deletes(spark, sf_dir))
+    return search.docs(search.search(NumericRangeQuery("price", 910, 930)))
+
+
+@query(f"SELECT count(*) AS num_docs, (SELECT max(p_partkey) FROM part) AS total_docs FROM part WHERE p_partkey NOT IN ({_DEAD})")
+def num_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = _with_deletes(spark, sf_dir)
+    return index.num_docs().withColumn("total_docs", index.total_docs().scalar())
+
+
+@query("SELECT unique_id AS doc_id, count(*) AS n FROM goods_doc GROUP BY unique_id HAVING count(*) > 1")
+def pk_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Products delivered more than once."""
+    return duplicate_keys(as_documents(table(spark, sf_dir, "goods_doc").select("unique_id"), "unique_id"))
+
+
+@query(_PART_SCORES + " SELECT doc_id, score FROM scored WHERE term = 'widget'")
+def append_then_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The parts appended as two segments of a store and compacted: the same scores as one index."""
+    part = table(spark, sf_dir, "part").select("p_partkey", F.col("p_name").alias("title"), F.col("p_retailprice").alias("price"))
+    store = IndexStore(spark, f"{shared_dir(spark)}/index-{uuid.uuid4().hex}")
+    store.append(part.where("p_partkey % 2 = 0"), "p_partkey")
+    store.append(part.where("p_partkey % 2 = 1"), "p_partkey")
+    store.merge()
+    return Searcher(store.open()).search(TermQuery("title", "widget"))
+
+
+@query("""SELECT 'p_name' AS field, 'string' AS type, sum(length(p_name))::BIGINT AS len_sum, count(*) AS doc_count FROM part
+UNION ALL SELECT 'p_partkey', 'key', 8 * count(*)::BIGINT, count(*) FROM part UNION ALL SELECT 'p_retailprice', 'double', count(*)::BIGINT, count(*) FROM part""")
+def merged_field_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_retailprice")
+    a, b = (build_index(part.where(f"p_partkey % 3 {c} 0"), "p_partkey") for c in ("=", "<>"))
+    return merge_indexes(a, b).stats
+
+
+# --- Numbers ------------------------------------------------------------------------------------------------
+
+_BITS = "(c_acctbal::DOUBLE::BIT)::BIGINT"
+_SORTABLE = f"CASE WHEN {_BITS} >= 0 THEN xor({_BITS}, (-9223372036854775808)::BIGINT) ELSE ~{_BITS} END"
+
+
+@query(f"SELECT c_custkey, {_SORTABLE} AS sortable, c_acctbal AS again FROM customer")
+def sortable_double(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order-preserving bits of every balance, and back."""
+    there = table(spark, sf_dir, "customer").select("c_custkey", numeric.sortable_long(F.col("c_acctbal").cast("double")).alias("sortable"))
+    return there.withColumn("again", numeric.sortable_double(F.col("sortable")))
+
+
+@query("SELECT o_orderkey, s AS shift, o_orderkey & CASE WHEN s = 3 THEN -1 ELSE ~((1::BIGINT << (48 - 16 * s)) - 1) END AS prefix FROM orders, range(4) AS r(s)")
+def prefix_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Legacy range terms of every order key."""
+    terms = table(spark, sf_dir, "orders").select("o_orderkey", F.explode(numeric.prefix_terms(F.col("o_orderkey"), 16)).alias("t"))
+    return terms.select("o_orderkey", F.col("t.shift").cast("bigint").alias("shift"), "t.prefix")
+
+
+# --- Segmentation and sources -------------------------------------------------------------------------------
+
+_DICTIONARY = frozenset("丰田 凯美瑞 仪表台 防晒 隔热 防晒隔热 适用 适用于 于丰 研究 研究生 生命 命起 起源 喜欢 中控".split())
+_GOLDEN = [("丰田凯美瑞", 1, "丰田/凯美瑞"), ("丰田凯美瑞", 2, "丰/田/凯美瑞"), ("丰田凯美瑞", 3, "丰田/凯/美/瑞"), ("适用于丰田", 1, "适用于/丰田"), ("适用于丰田", 2, "适用/于/丰田"),
+    ("适用于丰田", 3, "适用/于丰/田"), ("研究生命起源", 1, "研究/生命/起源"), ("研究生命起源", 2, "研究生/命/起源"), ("研究生命起源", 3, "研究生/命起/源"), ("防晒隔热垫", 1, "防晒隔热/垫"),
+    ("防晒隔热垫", 2, "防晒/隔热/垫"), ("防晒隔热垫", 3, "防/晒/隔热/垫"), ("我喜欢你", 1, "我/喜欢/你"), ("我喜欢你", 2, "我/喜/欢/你")]
+_GOLDEN_SQL = ", ".join(f"('{t}', {i}, '{w}')" for t, i, w in _GOLDEN)
+
+
+@query(f"SELECT * FROM (VALUES {_GOLDEN_SQL}) AS t(text, path, words)")
+def segment_paths_golden(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Up to three paths of fewest words."""
+    texts = spark.createDataFrame([(t,) for t in sorted({t for t, *_ in _GOLDEN})], "text string")
+    return segment_paths(texts, "text", 3, _DICTIONARY).select("text", "path", F.array_join("words", "/").alias("words"))
+
+
+@query("""WITH RECURSIVE words AS (SELECT DISTINCT trim(word) AS word FROM word_list WHERE trim(word) <> ''),
+runs AS (SELECT DISTINCT trim(word) AS run FROM word_list WHERE trim(word) <> '' AND regexp_matches(trim(word), '^[\\x{4e00}-\\x{9fff}]+$'))
+SELECT run, run AS term, 0 AS pos FROM runs""")
+def nshortest_path_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every word of the word list is one term of its own dictionary."""
+    listed = table(spark, sf_dir, "word_list")
+    words = load_words(listed)
+    runs = listed.select(F.trim("word").alias("run")).where("run <> ''").distinct().where(F.col("run").rlike("^[\\x{4e00}-\\x{9fff}]+$"))
+    return segment_runs(runs, "run", 1, words).select("run", F.explode("segments").alias("s")).select("run", "s.term", "s.pos")
+
+
+@query()
+def nshortest_path_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The inverted index of all titles, runs segmented by the word list with two paths."""
+    goods = table(spark, sf_dir, "goods_doc").where("title IS NOT NULL").groupBy("unique_id").agg(F.min("title").alias("title"))
+    words = load_words(table(spark, sf_dir, "word_list"))
+    return build_index(goods, "unique_id", analyzer=Analyzer(words=words, paths=2)).postings
+
+
+@query("""SELECT raw_id + 200000 AS "uniqueID", string_split(raw_line, chr(9))[2] AS title, try_cast(string_split(raw_line, chr(9))[3] AS FLOAT)::DOUBLE AS price FROM goods_raw
+WHERE regexp_matches(raw_line, '^[^"\\t]*\\t[^"\\t]*\\t[0-9]+([.][0-9]+)?\\z')""")
+def tsv_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Product lines as documents of a second batch: full split, single-precision prices, shifted keys."""
+    lines = table(spark, sf_dir, "goods_raw").where(F.col("raw_line").rlike('^[^"\\t]*\\t[^"\\t]*\\t[0-9]+([.][0-9]+)?\\z'))
+    return parse_goods(lines.select(F.col("raw_id").alias("line_no"), F.col("raw_line").alias("line")), float32=True, key_offset=200_000, whole_split=True).select("uniqueID", "title", "price")
