@@ -25,6 +25,8 @@ from lexispark.fields import DOUBLE, KEY, FieldSpec, infer
 from lexispark.operators.index import Analyzer, Index, as_documents, build_postings, build_stats, duplicate_keys
 
 FORMAT_VERSION = 1
+POSTINGS = "field string, term string, doc_id bigint, tf int, dl int"
+STATS = "field string, type string, len_sum bigint, doc_count bigint"
 
 
 class DuplicateKey(ValueError):
@@ -76,8 +78,11 @@ class IndexStore:
         out.write(bytearray(json.dumps(manifest).encode()))
         out.close()
 
-    def _read(self, parts: list[str], schema: str) -> DataFrame:
-        return self.spark.read.parquet(*[f"{self.path}/{p}" for p in parts]) if parts else self.spark.createDataFrame([], schema)
+    def _read(self, parts: list[str], schema: str | None) -> DataFrame:
+        if not parts:
+            return self.spark.createDataFrame([], schema)
+        reader = self.spark.read if schema is None else self.spark.read.schema(schema)
+        return reader.parquet(*[f"{self.path}/{p}" for p in parts])
 
     def append(self, df: DataFrame, key: str, specs: list[FieldSpec] | None = None, batch: int | None = None) -> None:
         """Add documents as one segment. ``batch`` numbers a stream's batch; one that is already in does nothing."""
@@ -122,11 +127,11 @@ class IndexStore:
     def _open(self, manifest: dict) -> Index:
         specs = tuple(FieldSpec(**f) for f in manifest["fields"])
         parts = lambda name: [f"{s}/{name}" for s in manifest["segments"]]
-        union = lambda name: _union([self._read([p], "") for p in parts(name)])  # noqa: E731  segments may differ in columns
-        postings = union("postings").select("field", "term", "doc_id", "tf", "dl")
-        stats = union("stats").groupBy("field").agg(F.first("type").alias("type"), F.sum("len_sum").alias("len_sum"), F.sum("doc_count").alias("doc_count"))
+        stored = _union([self._read([p], None) for p in parts("stored")])  # segments may differ in columns
+        postings = _union([self._read([p], POSTINGS) for p in parts("postings")])
+        stats = self._read(parts("stats"), STATS).groupBy("field").agg(F.first("type").alias("type"), F.sum("len_sum").alias("len_sum"), F.sum("doc_count").alias("doc_count"))
         deletes = self._read(manifest["deletes"], "doc_id bigint")
-        index = _StoredPoints(union("stored"), postings, stats, deletes, specs, self.analyzer, bool(manifest["deletes"]))
+        index = _StoredPoints(stored, postings, stats, deletes, specs, self.analyzer, bool(manifest["deletes"]))
         tables = {}
         for s in specs:
             have = [p for p in parts(f"points-{s.name}") if (lambda f: f[0].exists(f[1]))(self._fs(f"{self.path}/{p}"))]

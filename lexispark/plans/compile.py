@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections import Counter
 from functools import singledispatch
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexispark.fields import DOUBLE, STRING
@@ -20,19 +20,22 @@ def no_hits(index: Index) -> DataFrame:
     return index.stored.sparkSession.createDataFrame([], HITS)
 
 
-def scored_postings(index: Index, wanted: Column, fields: list[str]) -> DataFrame:
-    """(field, term, doc_id, score) of live postings that satisfy ``wanted``.
+def scored_postings(index: Index, field: str, terms: list[str]) -> DataFrame:
+    """(term, doc_id, score) of live postings of ``terms`` in one field.
 
-    df counts every posting, deleted documents included; n only live documents.
+    df counts every posting, deleted documents included; n only live documents. What is one number for the whole
+    query (n, the average length, df of a single term) is a scalar subquery, not a join.
     """
-    mine = index.postings.where(wanted)
-    # A row for each term of the query and for each field: bounded by the query and the schema.
-    df = F.broadcast(mine.groupBy("field", "term").agg(F.count("*").alias("df")))
-    average = average_length(F.col("len_sum"), F.col("doc_count")).alias("avgdl")
-    stats = F.broadcast(index.stats.where(F.col("field").isin(fields)).select("field", average))
+    mine = index.postings.where((F.col("field") == field) & F.col("term").isin(terms)).select("term", "doc_id", "tf", "dl")
+    average = index.stats.where(F.col("field") == field).agg(F.max(average_length(F.col("len_sum"), F.col("doc_count")))).scalar()
     n = index.num_docs().scalar()
-    joined = index.live(mine).join(df, ["field", "term"]).join(stats, "field")
-    return joined.select("field", "term", "doc_id", bm25(n, F.col("df"), F.col("tf"), F.col("dl"), F.col("avgdl")).alias("score"))
+    live = index.live(mine)
+    if len(terms) == 1:
+        df = mine.agg(F.count("*")).scalar()
+    else:  # a row for each term of the query
+        live = live.join(F.broadcast(mine.groupBy("term").agg(F.count("*").alias("df"))), "term")
+        df = F.col("df")
+    return live.select("term", "doc_id", bm25(n, df, F.col("tf"), F.col("dl"), average).alias("score"))
 
 
 @singledispatch
@@ -46,7 +49,7 @@ def _(query: TermQuery, index: Index) -> DataFrame:
     spec = index.spec(query.field)
     if spec is None or spec.type != STRING:
         return no_hits(index)
-    return scored_postings(index, (F.col("field") == query.field) & (F.col("term") == query.term), [query.field]).select("doc_id", "score")
+    return scored_postings(index, query.field, [query.term]).select("doc_id", "score")
 
 
 @compile_query.register
@@ -72,7 +75,7 @@ def _(query: StringQuery, index: Index) -> DataFrame:
         return no_hits(index)
     times = Counter(t for t, _ in terms)
     first = {t: i for i, t in reversed(list(enumerate(t for t, _ in terms)))}
-    scored = scored_postings(index, (F.col("field") == query.field) & F.col("term").isin(list(times)), [query.field])
+    scored = scored_postings(index, query.field, list(times))
     number = lambda table: F.create_map(*[F.lit(x) for t in table.items() for x in t])[F.col("term")]
     by_doc = scored.groupBy("doc_id").agg(
         F.count("*").alias("have"), F.sum(F.col("score") * number(times)).cast("float").alias("every"), F.min_by("score", number(first)).alias("any")

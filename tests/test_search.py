@@ -1,0 +1,237 @@
+import random
+import re
+
+import pytest
+from pyspark.sql import functions as F
+
+from lexispark.fields import DOUBLE, KEY, STRING, FieldSpec, infer
+from lexispark.functions import numeric
+from lexispark.operators.index import build_index
+from lexispark.operators.searcher import Searcher, top_n
+from lexispark.operators.store import DuplicateKey, FormatTooOld, IndexStore
+from lexispark.plans.query import MUST, SHOULD, BooleanQuery, NumericRangeQuery, Query, StringQuery, TermQuery
+from lexispark.streaming.ingest import ingest
+
+DOCS = [(1, "red widget", 5.3), (2, "blue widget", 12.1), (3, "red red bolt", -4.0), (4, "small ring", 18.56), (5, "widget", 0.0)]
+SCHEMA = "uniqueID bigint, title string, price double"
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.createDataFrame(DOCS, SCHEMA).cache()
+
+
+@pytest.fixture(scope="module")
+def search(docs):
+    return Searcher(build_index(docs, "uniqueID"))
+
+
+def scores(df):
+    return {r.doc_id: round(r.score, 6) for r in df.collect()}
+
+
+def near(got, want):
+    assert set(got) == set(want)
+    for k in want:
+        assert got[k] == pytest.approx(want[k], abs=2e-6)
+
+
+@pytest.mark.parametrize(
+    "query, want",
+    [
+        (TermQuery("title", "red"), {3: 1.1005894, 1: 0.8374049}),
+        (TermQuery("title", "widget"), {5: 0.6241012, 1: 0.5155619, 2: 0.4940801}),
+        (TermQuery("title", "ring"), {4: 1.3260206}),
+        (TermQuery("title", "bolt"), {3: 1.2199390}),
+        (TermQuery("title", "Widget"), {}),
+        (TermQuery("title", "zzz"), {}),
+        (TermQuery("nothing", "red"), {}),
+        (TermQuery("price", "red"), {}),
+        (BooleanQuery(MUST, TermQuery("title", "red"), TermQuery("title", "widget")), {1: 1.3529668}),
+        (BooleanQuery(SHOULD, TermQuery("title", "red"), TermQuery("title", "widget")), {3: 1.1005894, 1: 0.8374049, 5: 0.6241012, 2: 0.4940801}),
+        (BooleanQuery(SHOULD, TermQuery("title", "widget"), TermQuery("title", "red")), {3: 1.1005894, 5: 0.6241012, 1: 0.5155619, 2: 0.4940801}),
+        (BooleanQuery(MUST), {}),
+        (BooleanQuery(MUST, TermQuery("title", "red"), TermQuery("title", "zzz")), {}),
+        (BooleanQuery(MUST, TermQuery("title", "widget"), NumericRangeQuery("price", 0, 10)), {5: 0.6241012, 1: 0.5155619}),
+        (BooleanQuery(MUST, StringQuery("title", "red widget"), NumericRangeQuery("price", 0, 10)), {1: 1.3529668}),
+        (StringQuery("title", "Red, widget!"), {1: 1.3529668}),
+        (StringQuery("title", "red ring"), {4: 1.3260206, 3: 1.1005894, 1: 0.8374049}),
+        (StringQuery("title", "red red"), {3: 2.2011788, 1: 1.6748098}),
+        (StringQuery("title", ""), {}),
+        (NumericRangeQuery("price", 5.3, 12.1), {1: 0, 2: 0}),
+        (NumericRangeQuery("price", -5, -1), {3: 0}),
+        (NumericRangeQuery("price", -5, 12), {1: 0, 3: 0, 5: 0}),
+        (NumericRangeQuery("price", 2, 1), {}),
+        (NumericRangeQuery("title", 0, 1), {}),
+        (Query(), {}),
+    ],
+)
+def test_golden_queries(search, query, want):
+    near(scores(search.search(query)), want)
+
+
+def test_top_n(spark, search):
+    assert [r.doc_id for r in search.search(NumericRangeQuery("price", -10, 20), 2).collect()] == [3, 5]
+    assert search.search(NumericRangeQuery("price", -10, 20), 0).count() == 0
+    assert [r.doc_id for r in search.search(TermQuery("title", "widget"), 2).collect()] == [5, 1]
+    hits = lambda *h: spark.createDataFrame(list(h), "score float, doc_id bigint")
+    ids = lambda df: [r.doc_id for r in df.collect()]
+    assert ids(top_n(hits((1.0, 1), (3.0, 2), (2.0, 3)), 2)) == [2, 3]
+    assert ids(top_n(hits(*[(0.0, i) for i in range(5, 0, -1)]), 3)) == [1, 2, 3]
+    assert ids(top_n(hits((1.0, 10), (2.0, 20)), 5)) == [20, 10]
+    assert ids(top_n(hits((1.0, 1)), 0)) == []
+    with pytest.raises(ValueError):
+        top_n(hits((1.0, 1)), -1)
+
+
+def test_deletes(spark, docs):
+    index = build_index(docs, "uniqueID").with_deletes(spark.createDataFrame([(5,), (5,), (99,)], "doc_id bigint"))
+    search = Searcher(index)
+    near(scores(search.search(TermQuery("title", "widget"))), {1: 0.3411673, 2: 0.3269520})
+    assert index.num_docs().first()[0] == 4 and index.total_docs().first()[0] == 5
+    assert search.docs(spark.createDataFrame([(5, 1.0)], "doc_id bigint, score float")).count() == 0
+
+
+def test_docs_and_json(search):
+    rows = search.fetch(TermQuery("title", "ring"), 10)
+    assert rows.columns == ["doc_id", "title", "price", "score"]
+    assert search.json(rows.drop("score")).first().json == '{"title":"small ring","price":18.56}'
+
+
+def test_plans(spark, docs, tmp_path):
+    def plan(df):
+        return df._jdf.queryExecution().executedPlan().toString()
+
+    docs.write.parquet(f"{tmp_path}/d")
+    search = Searcher(build_index(spark.read.parquet(f"{tmp_path}/d"), "uniqueID"))
+
+    assert "TakeOrderedAndProject" in plan(search.search(TermQuery("title", "red"), 3))
+    everything = plan(search.search(StringQuery("title", "red widget"), 3))
+    assert not re.search("Python|Arrow|Cartesian|NestedLoop", everything)
+
+
+def test_range_reaches_the_scan(spark, docs, tmp_path):
+    docs.write.parquet(f"{tmp_path}/d")
+    found = Searcher(build_index(spark.read.parquet(f"{tmp_path}/d"), "uniqueID")).search(NumericRangeQuery("price", 1, 2))
+    text = found._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(price,1.0)" in text and "LessThanOrEqual(price,2.0)" in text
+
+
+def test_many_ranges_against_brute_force(spark):
+    r = random.Random(7)
+    points = [(i, r.uniform(-50, 100)) for i in range(2000)]
+    ranges = [(q, lo, lo + 20) for q, lo in enumerate(r.uniform(-60, 90) for _ in range(32))] + [(99, 5.0, 1.0)]
+    search = Searcher(build_index(spark.createDataFrame(points, "id bigint, price double"), "id"))
+    got = search.search_many_ranges(spark.createDataFrame(ranges, "qid int, lower double, upper double"), "price", 20.0, 50).collect()
+    want = {(q, i, k + 1) for q, a, b in ranges for k, (v, i) in enumerate(sorted((v, i) for i, v in points if a <= v <= b)[:50])}
+    assert {(x.qid, x.doc_id, x["rank"]) for x in got} == want
+
+
+def test_many_queries_match_single_ones(spark, search):
+    terms = [(0, "title", "red"), (1, "title", "widget"), (2, "title", "zzz"), (3, "title", "red")]
+    got = search.search_many_terms(spark.createDataFrame(terms, "qid int, field string, term string"), 2).collect()
+    for q, f, t in terms:
+        assert [(r.doc_id, r.score) for r in sorted(got, key=lambda r: r["rank"]) if r.qid == q] == [tuple(r) for r in search.search(TermQuery(f, t), 2).collect()]
+    texts = [(0, "title", "red ring"), (1, "title", "red red"), (2, "title", ""), (3, "title", "Red widget")]
+    got = search.search_many_strings(spark.createDataFrame(texts, "qid int, field string, text string"), 3).collect()
+    for q, f, t in texts:
+        assert [(r.doc_id, r.score) for r in sorted(got, key=lambda r: r["rank"]) if r.qid == q] == [tuple(r) for r in search.search(StringQuery(f, t), 3).collect()]
+
+
+def test_blank_values_and_nulls(spark):
+    df = spark.createDataFrame([(1, "", 1.0), (2, None, None), (3, "  ", float("nan"))], "id bigint, t string, p double")
+    index = build_index(df, "id")
+    stats = {r.field: (r.len_sum, r.doc_count) for r in index.stats.collect()}
+    assert stats == {"t": (2, 2), "p": (2, 2), "id": (24, 3)}
+    assert index.postings.count() == 0
+    one = build_index(spark.createDataFrame([(1, "")], "id bigint, t string"), "id")
+    assert Searcher(one).search(TermQuery("t", "x")).count() == 0
+    empty = build_index(df.limit(0), "id")
+    assert Searcher(empty).search(StringQuery("t", "x y"), 5).count() == 0 and empty.stats.count() == 0
+
+
+def test_field_flags_and_inference(docs):
+    specs = infer(docs.schema, "uniqueID")
+    assert [(s.name, s.type, s.flags) for s in specs] == [("uniqueID", KEY, 17), ("title", STRING, 11), ("price", DOUBLE, 7)]
+
+
+def test_store(spark, docs, tmp_path):
+    store = IndexStore(spark, f"{tmp_path}/index")
+    with pytest.raises(FileNotFoundError):
+        store.open()
+    store.append(docs.where("uniqueID <= 3"), "uniqueID")
+    store.append(docs.where("uniqueID > 3"), "uniqueID")
+    with pytest.raises(DuplicateKey):
+        store.append(docs.where("uniqueID = 4"), "uniqueID")
+    with pytest.raises(DuplicateKey):
+        store.append(docs.where("uniqueID = 4").selectExpr("uniqueID + 10 AS uniqueID", "title", "price").unionAll(docs.where("uniqueID = 4").selectExpr("uniqueID + 10", "title", "price")), "uniqueID")
+    want = {5: 0.6241012, 1: 0.5155619, 2: 0.4940801}
+    old = store.open()
+    near(scores(Searcher(old).search(TermQuery("title", "widget"))), want)
+    assert [r.doc_id for r in Searcher(old).search(NumericRangeQuery("price", -10, 6)).collect()] and store.segment_info().first().segments == 2
+    store.merge()
+    assert store.segment_info().first().segments == 1 and store.segment_info().first().pre_max_id == 5
+    near(scores(Searcher(store.open()).search(TermQuery("title", "widget"))), want)
+    near(scores(Searcher(old).search(TermQuery("title", "widget"))), want)  # open readers keep their version
+    assert store.delete([5, 99, 5]) == [True, False, False] and store.delete([5]) == [False]
+    store.vacuum()
+    near(scores(Searcher(store.open()).search(TermQuery("title", "widget"))), {1: 0.3411673, 2: 0.3269520})
+    assert {r.doc_id for r in Searcher(store.open()).search(NumericRangeQuery("price", -10, 6)).collect()} == {1, 3}
+    with pytest.raises(DuplicateKey):  # a deleted key stays taken
+        store.append(docs.where("uniqueID = 5"), "uniqueID")
+    manifest = store.manifest() | {"format_version": 0}
+    store._commit(manifest)
+    with pytest.raises(FormatTooOld):
+        store.open()
+    store.wipe()
+    assert store.manifest()["version"] == 0
+
+
+def test_points_of_the_store_are_pruned(spark, tmp_path):
+    store = IndexStore(spark, f"{tmp_path}/i")
+    store.append(spark.range(1000).selectExpr("id", "cast(id as double) AS price"), "id")
+    text = store.open().points("price").where("value > 990")._jdf.queryExecution().executedPlan().toString()
+    assert "ReadSchema: struct<value:double,doc_id:bigint>" in text and "GreaterThan(value,990.0)" in text
+
+
+def test_streaming_ingest_is_idempotent(spark, docs, tmp_path):
+    docs.repartition(1).write.parquet(f"{tmp_path}/in")
+    store = IndexStore(spark, f"{tmp_path}/index")
+    stream = spark.readStream.schema(docs.schema).parquet(f"{tmp_path}/in")
+    ingest(stream, store, "uniqueID", f"{tmp_path}/cp").awaitTermination()
+    assert store.open().stored.count() == 5
+    store.append(docs, "uniqueID", batch=0)  # a replay
+    assert store.open().stored.count() == 5 and len(store.manifest()["segments"]) == 1
+
+
+def test_numeric_forms(spark):
+    hexes = [(-4.0, "3FEFFFFFFFFFFFFF"), (-0.0, "7FFFFFFFFFFFFFFF"), (0.0, "8000000000000000"), (1.5, "BFF8000000000000"), (5.3, "C015333333333333"), (99.0, "C058C00000000000")]
+    values = [(v,) for v in [*[v for v, _ in hexes], None, float("inf"), -1e300]]
+    rows = spark.createDataFrame(values, "x double").withColumn("s", numeric.sortable_long(F.col("x"))).select("x", "s", F.hex("s").alias("h"), numeric.sortable_double(F.col("s")).alias("b")).collect()
+    assert [r.h for r in rows[:6]] == [h for _, h in hexes]
+    assert all(r.b == r.x for r in rows)
+    ordered = sorted((r for r in rows if r.x is not None), key=lambda r: r.s % (1 << 64))
+    assert [r.x for r in ordered] == sorted(r.x for r in ordered)
+    assert numeric.long_mask(64) == -1 and numeric.long_mask(1) == -(1 << 63) and numeric.long_mask(0) == 0
+
+    def varint(n):
+        out = []
+        while n >= 128:
+            out.append(n & 127 | 128)
+            n >>= 7
+        return bytes([*out, n])
+
+    ns = [0, 1, 127, 128, 300, (1 << 35) + 5, (1 << 63) - 1]
+    got = spark.createDataFrame([(n,) for n in ns], "n bigint").select("n", numeric.variable_length(F.col("n")).alias("v"), numeric.big_endian(F.col("n")).alias("b"), numeric.seven_bit(F.col("n")).alias("s")).collect()
+    for r in got:
+        assert bytes(r.v) == varint(r.n) and bytes(r.b) == r.n.to_bytes(8, "big")
+        assert bytes(r.s) == bytes([*[(r.n >> k) & 0x7F for k in range(57, 0, -7)], r.n & 1])
+
+
+def test_specs_choose_what_is_stored(spark):
+    df = spark.createDataFrame([(1, "a b", "c", 2.0)], "id bigint, t string, u string, p double")
+    specs = [FieldSpec("id", KEY, False), FieldSpec("t", STRING, True, False), FieldSpec("u", STRING, False), FieldSpec("p", DOUBLE, True, False)]
+    search = Searcher(build_index(df, "id", specs))
+    got = search.fetch(TermQuery("t", "a"), 5)
+    assert got.columns == ["doc_id", "u", "score"] and got.count() == 1
+    assert search.search(NumericRangeQuery("p", 1, 3)).count() == 1 and search.search(TermQuery("u", "c")).count() == 0
