@@ -18,6 +18,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 BLOCK = 4096
+#: A failing block of at most so many records is isolated enough: they are all read strictly.
+FEW = 8
 _FIELD = r'(?:"(?:[^"]|"")*"|[^"\t][^\t]*|)'
 _LINE = rf"\A{_FIELD}(?:\t{_FIELD})*\z"
 _BAD_TITLE = r"\A[\s\x{85}\p{Z}]*\z|[\x00-\x08\x0a-\x1f\x{fffd}]"
@@ -112,14 +114,12 @@ def _parse(ids: pa.Array, lines: pa.Array) -> Iterator[pa.RecordBatch]:
     at_strict: list[int] = []
     while todo:
         at, n = todo.pop()
-        if n > 1 or lines[at].is_valid:
-            good = parse_bulk(lines.slice(at, n))
-            if good is not None:
-                yield pa.record_batch([ids.slice(at, n), *good, pa.nulls(n, pa.string())], schema=SCHEMA)
-                continue
-        if n == 1:
-            strict.append(diagnose(lines[at].as_py()))
-            at_strict.append(at)
+        good = parse_bulk(lines.slice(at, n))
+        if good is not None:
+            yield pa.record_batch([ids.slice(at, n), *good, pa.nulls(n, pa.string())], schema=SCHEMA)
+        elif n <= FEW:
+            strict += [diagnose(x) for x in lines.slice(at, n).to_pylist()]
+            at_strict += range(at, at + n)
         else:
             todo += [(at, n // 2), (at + n // 2, n - n // 2)]
     if strict:
