@@ -39,13 +39,8 @@ def heavy_keys(postings: DataFrame, percent: float = 1.0) -> DataFrame:
     An empty table has none. The bar is compared as ``100 * n > percent * total``, without rounding for whole percents.
     """
     counts = key_counts(postings)
-    total = counts.where("key_kind = 'all'").select(F.col("postings").alias("total"))
-    # At most 200 / percent rows can pass; the one-row total is the broadcast side.
-    return (
-        counts.where("key_kind <> 'all'")
-        .join(F.broadcast(total), F.col("postings") * 100 > F.col("total") * percent)
-        .select("key_kind", "key_name", "postings")
-    )
+    total = counts.where("key_kind = 'all'").agg(F.max("postings")).scalar()
+    return counts.where((F.col("key_kind") != "all") & (F.col("postings") * 100 > total * percent)).select("key_kind", "key_name", "postings")
 
 
 def skew_safe_join(facts: DataFrame, stats: DataFrame, keys: list[str], rows: str, total: int) -> DataFrame:
