@@ -10,7 +10,8 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -78,8 +79,9 @@ def pack(sizes: DataFrame, id_column: str, capacities: list[tuple[int, int]], li
     (null, empty) need no room: one row with a null container. Ids may repeat; each row is a text of its own, told
     apart by nothing. An empty table gives an empty result.
 
-    Texts are spread by hash over groups of about ``group`` rows, each packed by one task on its own, so work and
-    memory of a task are bounded and no order over all texts is needed.
+    Rows are spread over groups of about ``group``, each packed by one task on its own, so work and memory of a task
+    are bounded and no order over all texts is needed. Groups hang on the place of a row in its partition, not on
+    its id, so repeated ids spread like others; ``sizes`` should be a written table, whose partitions stay as they are.
     """
     capacities = [(int(k), int(c)) for k, c in capacities if k is not None and c is not None and c > 0]
     kind = dict(sizes.dtypes)[id_column]
@@ -89,33 +91,24 @@ def pack(sizes: DataFrame, id_column: str, capacities: list[tuple[int, int]], li
     groups = max(1, -(-sizes.count() // group))
     room = dict(capacities)
 
-    def run(key: tuple, items: pd.DataFrame) -> pd.DataFrame:
-        capacity_id, shard = int(key[0]), int(key[1])
+    def run(key: tuple, items: pa.Table) -> pa.Table:
+        capacity_id, shard = key[0].as_py(), key[1].as_py()
         capacity = room[capacity_id]
         longest = limits.longest(capacity)
-        size = items["tokens"].to_numpy(np.int64)
-        ids = items[id_column].to_numpy()
+        ids = items.column(0).combine_chunks()
+        size = items.column(1).to_numpy().astype(np.int64)
         pieces = np.maximum(1, -(-size // longest))
         row = np.repeat(np.arange(len(size)), pieces)
         piece = np.arange(len(row)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
         length = np.minimum(longest, size[row] - piece * longest)
-        order = np.lexsort((piece, ids[row], -length))
-        order = order[length[order] > 0]
+        order = np.lexsort((piece, pc.rank(ids, "ascending").to_numpy()[row], -length))
         place = best_fit(length[order], capacity, limits)
-        return pd.DataFrame(
-            {
-                "capacity_id": np.int32(capacity_id),
-                "container_id": place + (shard << 32),
-                id_column: ids[row][order],
-                "piece": piece[order].astype(np.int32),
-                "start": piece[order] * longest,
-                "tokens": length[order],
-            }
-        )
+        columns = [pa.array(np.full(len(order), capacity_id, np.int32)), pa.array(place + (shard << 32)), ids.take(pa.array(row[order])), pa.array(piece[order].astype(np.int32)), pa.array(piece[order] * longest), pa.array(length[order])]
+        return pa.Table.from_arrays(columns, names=["capacity_id", "container_id", id_column, "piece", "start", "tokens"])
 
     wanted = F.explode(F.array(*[F.lit(k) for k, _ in capacities])).alias("capacity_id")
-    some = sizes.where("tokens > 0").select(id_column, F.col("tokens").cast("bigint").alias("tokens"), F.pmod(F.xxhash64(id_column), F.lit(groups)).alias("shard"))
-    packed = some.select("*", wanted).groupBy("capacity_id", "shard").applyInPandas(run, out)
+    some = sizes.where("tokens > 0").select(id_column, F.col("tokens").cast("bigint").alias("tokens"), F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(groups)).alias("shard"))
+    packed = some.select(id_column, "tokens", "shard", wanted).groupBy("capacity_id", "shard").applyInArrow(run, out)
     none = sizes.where("coalesce(tokens, 0) <= 0").select(
         wanted, F.lit(None).cast("bigint").alias("container_id"), id_column, F.lit(0).alias("piece"), F.lit(0).cast("bigint").alias("start"), F.lit(0).cast("bigint").alias("tokens")
     )

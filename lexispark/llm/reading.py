@@ -92,8 +92,8 @@ def reading_levels(documents: DataFrame, id_column: str = "doc_id", column: str
     """(id, level, lix, n_words, n_sentences, graded) of every non-null text.
 
     ``level`` is the predicted difficulty on the scale of LIX; it is null for a text without known words (empty,
-    of unknown words alone). Texts of one id are rows of their own only if ids are unique, as they must be. An empty table
-    gives an empty result; other columns are ignored; a long text is as many distinct words as it has, no more.
+    of unknown words alone) and for a null id. Rows that repeat an id stay, with one level from the words of all of them. An
+    empty table gives an empty result; other columns are ignored; a long text is as many distinct words as it has, no more.
     """
     texts = materialize(surface(documents, id_column, column), "surface")
     pairs = texts.select(id_column, F.explode("words").alias("word"), "lix", "graded")
