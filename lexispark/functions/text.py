@@ -73,6 +73,11 @@ def is_plain(token: Column) -> Column:
     return token.rlike(PLAIN)
 
 
+def bucket(token: Column) -> Column:
+    """'digits', 'latin' or 'run' by the first character of a token."""
+    return F.when(token.rlike(r"^\p{Nd}"), "digits").when(token.rlike("^[a-z]"), "latin").otherwise("run")
+
+
 def single_characters(token: Column) -> Column:
     """Segmentation without a dictionary: each of the first LONGEST_RUN characters."""
     return F.split(F.substring(token, 1, LONGEST_RUN), "")

@@ -14,13 +14,14 @@ from lexispark.functions import text as tx
 from lexispark.functions.scoring import average_length
 from lexispark.functions.segment import segment_paths, segment_runs
 from lexispark.operators.index import Analyzer, Index, as_documents, build_index, duplicate_keys
-from lexispark.operators.searcher import Searcher
+from lexispark.operators.searcher import Searcher, top_n
 from lexispark.operators.skew import heavy_keys, key_counts
 from lexispark.operators.store import IndexStore, merge_indexes
 from lexispark.plans.query import MUST, SHOULD, BooleanQuery, NumericRangeQuery, StringQuery, TermQuery
+from lexispark.plans.workload import random_ranges
 from lexispark.session import shared_dir, table
 from lexispark.sources.records import parse_records
-from lexispark.sources.tsv import load_words, parse_goods
+from lexispark.sources.tsv import load_documents, load_titles, load_words, parse_goods
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -322,8 +323,8 @@ def range_mixed_sign(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Searcher(build_index(customers, "c_custkey")).search(NumericRangeQuery("c_acctbal", -500, 500))
 
 
-_RANGES = [(i, 1.0 + (i * 37 % 79), 21.0 + (i * 37 % 79)) for i in range(32)]
-_RANGES_SQL = ", ".join(f"({q}, {a}, {b})" for q, a, b in _RANGES)
+_RANGES = [(i, a, b) for i, (a, b) in enumerate(random_ranges(32))]
+_RANGES_SQL = ", ".join(f"({q}, {a!r}::DOUBLE, {b!r}::DOUBLE)" for q, a, b in _RANGES)
 
 
 @query(f"""WITH asked(qid, lower, upper) AS (VALUES {_RANGES_SQL}),
@@ -504,3 +505,125 @@ def tsv_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Product lines as documents of a second batch: full split, single-precision prices, shifted keys."""
     lines = table(spark, sf_dir, "goods_raw").where(F.col("raw_line").rlike('^[^"\\t]*\\t[^"\\t]*\\t[0-9]+([.][0-9]+)?\\z'))
     return parse_goods(lines.select(F.col("raw_id").alias("line_no"), F.col("raw_line").alias("line")), float32=True, key_offset=200_000, whole_split=True).select("uniqueID", "title", "price")
+
+
+@query("SELECT * FROM (VALUES (0, 58.477530722596576::DOUBLE, 78.47753072259657::DOUBLE), (1, 54.97465426902779, 74.97465426902779), (2, 25.38883697128012, 45.38883697128012), (3, 22.889200715856795, 42.8892007158568)) AS t(qid, lower, upper)")
+def workload_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first ranges of the benchmark's seeded workload."""
+    return spark.createDataFrame(_RANGES[:4], "qid int, lower double, upper double")
+
+
+@query("SELECT trim(word) AS word, count(*) AS n FROM word_list WHERE trim(word) <> '' GROUP BY trim(word)")
+def word_list_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The dictionary as it is loaded, with how often each word is listed."""
+    listed = table(spark, sf_dir, "word_list")
+    words = spark.createDataFrame([(w,) for w in sorted(load_words(listed))], "word string")
+    return words.join(listed.select(F.trim("word").alias("word")), "word").groupBy("word").agg(F.count("*").alias("n"))
+
+
+def _goods_file(spark: SparkSession, sf_dir: str) -> str:
+    """Part names and prices written as a product file of one part, in order of the key."""
+    path = f"{shared_dir(spark)}/goods-{uuid.uuid4().hex}"
+    part = table(spark, sf_dir, "part").repartitionByRange(1, "p_partkey").sortWithinPartitions("p_partkey")
+    part.select(F.concat_ws("\t", F.col("p_partkey").cast("string"), "p_name", F.col("p_retailprice").cast("string")).alias("value")).write.text(path)
+    return path
+
+
+@query("""SELECT row_number() OVER (ORDER BY p_partkey) - 1 AS "uniqueID", p_name AS title, p_retailprice AS price, p_name AS descript, p_retailprice AS digt FROM part""")
+def tsv_corpus_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A product file as documents with the line number as key."""
+    return load_documents(spark, _goods_file(spark, sf_dir))
+
+
+@query("SELECT p_name AS title FROM part ORDER BY p_partkey LIMIT 100")
+def tsv_title_sampler(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 100 titles of a product file."""
+    return load_titles(spark, _goods_file(spark, sf_dir), 100)
+
+
+@query("SELECT p_partkey AS doc_id, length(p_name) AS utf16, length(p_name) AS characters FROM part")
+def value_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lengths of values as the index counts them."""
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc_id"), tx.value_length(F.col("p_name")).alias("utf16"), F.length("p_name").alias("characters"))
+
+
+@query(_TEXT + rf""" SELECT doc_id, CASE WHEN regexp_matches(token, '^\p{{Nd}}') THEN 'digits' WHEN regexp_matches(token, '^[a-z]') THEN 'latin' ELSE 'run' END AS bucket, count(*) AS n
+FROM tokens GROUP BY ALL""")
+def token_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every text by what they start with: digits, Latin letters, or a run to be segmented."""
+    tokens = _documents(spark, sf_dir).select("doc_id", F.explode(tx.tokens(tx.normalize(F.col("text")))).alias("token"))
+    return tokens.groupBy("doc_id", tx.bucket(F.col("token")).alias("bucket")).agg(F.count("*").alias("n"))
+
+
+@query(rf"""WITH parts AS (SELECT p_partkey AS doc_id, regexp_extract_all({_normal_sql('p_name')}, '{tx.TOKEN}| ') AS all_parts FROM part),
+numbered AS (SELECT doc_id, unnest(all_parts) AS term, generate_subscripts(all_parts, 1) AS ord FROM parts),
+placed AS (SELECT doc_id, term, coalesce(sum(length(term)) OVER (PARTITION BY doc_id ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::INT AS pos FROM numbered)
+SELECT doc_id, term, pos, pos - lag(pos, 1, -1) OVER (PARTITION BY doc_id ORDER BY pos, term) AS increment FROM placed WHERE term <> ' '""")
+def token_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Terms of every part name in order of place, each with its step from the one before (the first from -1)."""
+    parts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc_id"), F.posexplode(tx.tokens_with_gaps(tx.normalize(F.col("p_name")))).alias("at", "term"))
+    before = Window.partitionBy("doc_id").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+    placed = parts.withColumn("pos", F.coalesce(F.sum(F.length("term")).over(before), F.lit(0)).cast("int")).where("term <> ' '")
+    return placed.select("doc_id", "term", "pos", (F.col("pos") - F.lag("pos", 1, -1).over(Window.partitionBy("doc_id").orderBy("pos", "term"))).alias("increment"))
+
+
+@query("SELECT * FROM (VALUES ('a', 2, 3.0::FLOAT), ('a', 3, 2.0), ('b', 1, 0.0), ('b', 2, 0.0), ('b', 3, 0.0), ('c', 10, 1.0), ('c', 20, 2.0), ('d', 1, 1.0), ('d', 2, 1.0), ('e', 1, 1.0), ('e', 3, 2.0)) AS t(stream, doc_id, score)")
+def top_k_golden(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best k of small streams of hits, ties by smaller id."""
+    streams = {
+        "a": (2, [(1.0, 1), (3.0, 2), (2.0, 3)]), "b": (3, [(0.0, i) for i in range(1, 6)]), "c": (5, [(1.0, 10), (2.0, 20)]),
+        "z": (0, [(1.0, 1)]), "d": (2, [(1.0, 1), (1.0, 2), (1.0, 3)]), "e": (2, [(1.0, 1), (1.0, 2), (2.0, 3)]),
+    }
+    parts = [top_n(spark.createDataFrame(hits, "score float, doc_id int"), k).select(F.lit(name).alias("stream"), "doc_id", "score") for name, (k, hits) in streams.items()]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+@query("SELECT 1 AS step, 5::BIGINT AS id, true AS deleted UNION ALL SELECT 2, 5, false UNION ALL SELECT 3, -99, false UNION ALL SELECT 4, 5, false")
+def delete_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Deleting a document, deleting it again, an unknown one, and whether it can still be fetched."""
+    part = table(spark, sf_dir, "part").select("p_partkey", F.col("p_name").alias("title"))
+    store = IndexStore(spark, f"{shared_dir(spark)}/index-{uuid.uuid4().hex}")
+    store.append(part, "p_partkey")
+    steps = [(1, 5, store.delete([5])[0]), (2, 5, store.delete([5])[0]), (3, -99, store.delete([-99])[0])]
+    there = Searcher(store.open()).docs(spark.createDataFrame([(5, 1.0)], "doc_id bigint, score float")).count() > 0
+    return spark.createDataFrame([*steps, (4, 5, there)], "step int, id bigint, deleted boolean")
+
+
+@query("SELECT 2 AS segments, max(p_partkey) AS pre_max_id, 1 AS format_version FROM part")
+def segment_info(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a store of two segments says of itself."""
+    part = table(spark, sf_dir, "part").select("p_partkey", F.col("p_name").alias("title"))
+    store = IndexStore(spark, f"{shared_dir(spark)}/index-{uuid.uuid4().hex}")
+    for k in range(2):
+        store.append(part.where(f"p_partkey % 2 = {k}"), "p_partkey")
+    return store.segment_info().drop("created_ms")
+
+
+@query("SELECT o_orderkey, lpad(printf('%X', o_orderkey), 16, '0') AS big_endian FROM orders")
+def big_endian_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order keys as eight bytes, in hexadecimal."""
+    return table(spark, sf_dir, "orders").select("o_orderkey", F.hex(numeric.big_endian(F.col("o_orderkey"))).alias("big_endian"))
+
+
+@query("SELECT s.format_version, count(DISTINCT p.seg_no) AS segments, count(*) AS postings FROM postings p JOIN segment_info s USING (seg_no) GROUP BY s.format_version")
+def segment_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Postings by the format version of their segment; versions below 1 are those that a reader refuses."""
+    info = table(spark, sf_dir, "segment_info").select("seg_no", "format_version")
+    # Combined by segment before the join, so the join sees a row for each segment.
+    by_segment = table(spark, sf_dir, "postings").groupBy("seg_no").agg(F.count("*").alias("postings"))
+    return by_segment.join(info, "seg_no").groupBy("format_version").agg(F.count("*").alias("segments"), F.sum("postings").alias("postings"))
+
+
+_GONE = "SELECT DISTINCT unique_id FROM deleted_ids"
+
+
+@query(f"SELECT unique_id AS doc_id, min(title) AS title, min(price) AS price FROM goods_doc WHERE unique_id NOT IN ({_GONE}) AND price BETWEEN -5 AND 20 GROUP BY unique_id")
+def live_goods_in_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Products of a price range that are not deleted, each once."""
+    goods = table(spark, sf_dir, "goods_doc").groupBy("unique_id").agg(F.min("title").alias("title"), F.min("price").alias("price"))
+    index = build_index(goods, "unique_id").with_deletes(table(spark, sf_dir, "deleted_ids").select(F.col("unique_id").alias("doc_id")))
+    search = Searcher(index)
+    return search.docs(search.search(NumericRangeQuery("price", -5, 20))).drop("score")
