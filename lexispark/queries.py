@@ -507,6 +507,16 @@ def tsv_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parse_goods(lines.select(F.col("raw_id").alias("line_no"), F.col("raw_line").alias("line")), float32=True, key_offset=200_000, whole_split=True).select("uniqueID", "title", "price")
 
 
+@query()
+def tsv_documents_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every product line as a document, as ``tsv_documents`` without its choice of lines: quotes are plain characters, further fields ignored, a price that is no number null.
+
+    No SQL: prices are numbers as Java reads them ('0x1p3' and '32.28d' are, '1_23.36' is not), which DuckDB's casts are not.
+    """
+    lines = table(spark, sf_dir, "goods_raw").select(F.col("raw_id").alias("line_no"), F.col("raw_line").alias("line"))
+    return parse_goods(lines, float32=True, key_offset=200_000, whole_split=True).select("uniqueID", "title", "price")
+
+
 @query("SELECT * FROM (VALUES (0, 58.477530722596576::DOUBLE, 78.47753072259657::DOUBLE), (1, 54.97465426902779, 74.97465426902779), (2, 25.38883697128012, 45.38883697128012), (3, 22.889200715856795, 42.8892007158568)) AS t(qid, lower, upper)")
 def workload_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first ranges of the benchmark's seeded workload."""

@@ -31,7 +31,9 @@ def parse_goods(lines: DataFrame, float32: bool = False, key_offset: int = 0, wh
     prices as a single-precision parse does; ``key_offset`` is added to the line number. A price that is no number is null.
     """
     parts = F.split("line", "\t", -1 if whole_split else 3)
-    price = F.try_element_at(parts, F.lit(3)).try_cast("double")
+    text = F.try_element_at(parts, F.lit(3))
+    misspelt = text.rlike("(?i)inf|nan") & ~text.rlike("NaN|Infinity")  # a cast takes these in any case, and "inf"
+    price = F.when(~misspelt, text.try_cast("double"))
     price = price.cast("float").cast("double") if float32 else price
     title = F.try_element_at(parts, F.lit(2))
     return lines.select((F.col("line_no") + key_offset).alias("uniqueID"), title.alias("title"), price.alias("price"), title.alias("descript"), price.alias("digt"))

@@ -1,10 +1,14 @@
 import math
+import os
+import re
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 import pyarrow as pa
 
+from lexispark.queries import QUERIES
 from lexispark.sources import records
 from lexispark.sources.tsv import load_documents, load_titles, load_words, numbered_lines
 
@@ -87,3 +91,37 @@ def test_files(spark, tmp_path):
     assert load_words(words) == {"a", "b"}
     with pytest.raises(ValueError):
         load_words(words, most=1)
+
+
+JAVA_NUMBER = re.compile(r"[+-]?(?:NaN|Infinity|(?:(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?|0[xX](?:[0-9a-fA-F]+\.?[0-9a-fA-F]*|\.[0-9a-fA-F]+)[pP][+-]?\d+)[fFdD]?)", re.ASCII)
+
+
+def goods_line(line):
+    """Title and single-precision price of a line, the plain way."""
+    fields = line.split("\t") if line is not None else []
+    title, text = (fields[i] if len(fields) > i else None for i in (1, 2))
+    text = (text or "").strip("".join(map(chr, range(33))))
+    if not JAVA_NUMBER.fullmatch(text):
+        return title, None
+    if "x" in text.lower():
+        value = float.fromhex(re.sub("[fFdD]$", "", text))
+    else:
+        value = float(re.sub("[fFdD]$", "", text))
+    return title, float(np.float32(value))
+
+
+def test_all_product_lines(spark, tmp_path):
+    """Signs, exponents, blanks, quotes, further and missing fields: every line comes out once."""
+    odd = ["+116.68", "1E2", " 86.60", "9.5\r", '"9.5"', "9.5\tmore\tfields", "9,5", "abc", "", "0x1p3", "32.28d", "1_23.36", "NaN", "-4", "1e999", ".5", "5.", "-inf", "Infinity", "nan"]
+    lines = [f'a\tsome "quoted" title\t{x}' for x in odd] + ["no tab", "two\tfields", "", None, '"q\t"t\t1.5']
+    for at, rows in (("odd", list(enumerate(lines))), ("table", None)):
+        if rows is None:
+            if not os.path.isdir("/root/testdata/sf0.01"):
+                continue
+            folder = "/root/testdata/sf0.01"
+            rows = [(r.raw_id, r.raw_line) for r in spark.read.parquet(f"{folder}/goods_raw.parquet").collect()]
+        else:
+            folder = f"{tmp_path}/{at}"
+            spark.createDataFrame(rows, "raw_id bigint, raw_line string").write.parquet(f"{folder}/goods_raw.parquet")
+        got = sorted((r.uniqueID, r.title, repr(r.price)) for r in QUERIES["tsv_documents_all"](spark, folder).collect())
+        assert got == sorted((i + 200_000, goods_line(x)[0], repr(goods_line(x)[1])) for i, x in rows)
