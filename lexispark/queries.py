@@ -419,6 +419,31 @@ def num_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return index.num_docs().withColumn("total_docs", index.total_docs().scalar())
 
 
+_ALL_DEAD = "SELECT o_custkey AS doc_id FROM orders WHERE o_custkey IN (SELECT p_partkey FROM part)"
+
+
+def _with_all_deletes(spark: SparkSession, sf_dir: str) -> Index:
+    """Every row of orders is a delete."""
+    return _part_index(spark, sf_dir).with_deletes(table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("doc_id")))
+
+
+@query(f"{_PART},{_scores_sql(_ALL_DEAD)} SELECT doc_id, score FROM scored WHERE term = 'widget'")
+def bm25_after_all_deletes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return Searcher(_with_all_deletes(spark, sf_dir)).search(TermQuery("title", "widget"))
+
+
+@query(f"SELECT p_partkey AS doc_id, {_STORED}, 0::FLOAT AS score FROM part WHERE p_retailprice BETWEEN 910 AND 930 AND p_partkey NOT IN ({_ALL_DEAD})")
+def delete_all_then_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    search = Searcher(_with_all_deletes(spark, sf_dir))
+    return search.docs(search.search(NumericRangeQuery("price", 910, 930)))
+
+
+@query(f"SELECT count(*) AS num_docs, (SELECT max(p_partkey) FROM part) AS total_docs FROM part WHERE p_partkey NOT IN ({_ALL_DEAD})")
+def num_docs_after_all_deletes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = _with_all_deletes(spark, sf_dir)
+    return index.num_docs().withColumn("total_docs", index.total_docs().scalar())
+
+
 @query("SELECT unique_id AS doc_id, count(*) AS n FROM goods_doc GROUP BY unique_id HAVING count(*) > 1")
 def pk_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Products delivered more than once."""
