@@ -11,7 +11,27 @@ from pyspark.sql import functions as F
 Words = frozenset[str]
 
 
-def fewest_word_paths(text: str, n: int, words: Words) -> list[list[tuple[str, int]]]:
+class Dictionary:
+    """Words with their beginnings, so that a walk along a text ends where no word goes on."""
+
+    def __init__(self, words: Words):
+        self.words = frozenset(w for w in words if len(w) > 1)
+        self.beginnings = frozenset(w[:k] for w in self.words for k in range(2, len(w)))
+
+    def ends(self, text: str, start: int) -> list[int]:
+        """Where the words that start at a place of the text end; a single character is always one."""
+        out, end = [start + 1], start + 2
+        while end <= len(text):
+            part = text[start:end]
+            if part in self.words:
+                out.append(end)
+            if end - start > 1 and part not in self.beginnings:
+                break
+            end += 1
+        return out
+
+
+def fewest_word_paths(text: str, n: int, words: Words | Dictionary) -> list[list[tuple[str, int]]]:
     """At most n segmentations, each a list of (word, position), fewest words first.
 
     A word is one character or any dictionary entry. At every place the n best ways are kept; of ways with
@@ -19,16 +39,15 @@ def fewest_word_paths(text: str, n: int, words: Words) -> list[list[tuple[str, i
     """
     if n < 1:
         raise ValueError("n must be at least 1")
-    longest = max(map(len, words), default=1)
-    ways: list[list[tuple[int, tuple]]] = [[(0, ())]]
-    for end in range(1, len(text) + 1):
-        here = []
-        for start in range(max(0, end - longest) if longest > 1 else end - 1, end):
-            word = text[start:end]
-            if end - start == 1 or word in words:
-                here += [(cost + 1, (way, (word, start))) for cost, way in ways[start]]
-        here.sort(key=lambda x: x[0])  # stable: earlier starts first among equals
-        ways.append(here[:n])
+    known = words if isinstance(words, Dictionary) else Dictionary(words)
+    # Ways to each place, (words, (way before, (last word, its place))); they arrive in order of the last word's start.
+    ways: list[list[tuple[int, tuple]]] = [[(0, ())], *([] for _ in text)]
+    for start in range(len(text)):
+        here = sorted(ways[start], key=lambda x: x[0])[:n]  # stable: earlier starts first among equals
+        ways[start] = []
+        for end in known.ends(text, start):
+            last = (text[start:end], start)
+            ways[end] += [(cost + 1, (way, last)) for cost, way in here]
 
     def unfold(way: tuple) -> list[tuple[str, int]]:
         out = []
@@ -37,10 +56,10 @@ def fewest_word_paths(text: str, n: int, words: Words) -> list[list[tuple[str, i
             out.append(last)
         return out[::-1]
 
-    return [unfold(way) for _, way in ways[-1]] if text else []
+    return [unfold(way) for _, way in sorted(ways[-1], key=lambda x: x[0])[:n]] if text else []
 
 
-def segment_terms(text: str, n: int, words: Words, longest: int | None = 20) -> list[tuple[str, int]]:
+def segment_terms(text: str, n: int, words: Words | Dictionary, longest: int | None = 20) -> list[tuple[str, int]]:
     """The distinct (term, position) of the n best paths through the first ``longest`` characters, in order."""
     return sorted({t for path in fewest_word_paths(text[:longest] if longest else text, n, words) for t in path}, key=lambda t: (t[1], t[0]))
 
@@ -51,7 +70,7 @@ def segment_runs(runs: DataFrame, column: str, n: int, words: Words, longest: in
     Null and empty runs have no terms. Repeated runs of a batch are segmented once.
     """
     place = runs.columns.index(column)
-    shared = runs.sparkSession.sparkContext.broadcast(words)
+    shared = runs.sparkSession.sparkContext.broadcast(Dictionary(words))  # a resource of fixed size: see load_words
     kind = pa.list_(pa.struct([("term", pa.string()), ("pos", pa.int32())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -72,7 +91,7 @@ def segment_runs(runs: DataFrame, column: str, n: int, words: Words, longest: in
 
 def segment_paths(texts: DataFrame, column: str, n: int, words: Words) -> DataFrame:
     """(text, path, cost, words) of up to n paths of each distinct text, without a limit of length; path counts from 1."""
-    shared = texts.sparkSession.sparkContext.broadcast(words)
+    shared = texts.sparkSession.sparkContext.broadcast(Dictionary(words))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

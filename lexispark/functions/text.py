@@ -36,15 +36,14 @@ def replace_characters(c: Column, table: dict[str, str]) -> Column:
 
 @lru_cache(2)
 def simplified_characters() -> dict[str, str]:
-    """Traditional -> simplified Han characters by the rules of Spark's own ICU library ({} without it)."""
-    session = SparkSession.getActiveSession()
-    try:
-        rules = session._jvm.com.ibm.icu.text.Transliterator.getInstance("Traditional-Simplified")
-        han = "".join(map(chr, range(0x4E00, 0xA000)))
-        to = rules.transliterate(" ".join(han)).split(" ")
-        return {a: b for a, b in zip(han, to) if a != b and len(b) == 1} if len(to) == len(han) else {}
-    except Exception:  # noqa: BLE001  a session without that class
-        return {}
+    """Traditional -> simplified Han characters by the rules of Spark's own ICU library; an error without it."""
+    session = SparkSession.active()
+    rules = session._jvm.com.ibm.icu.text.Transliterator.getInstance("Traditional-Simplified")
+    han = "".join(map(chr, range(0x4E00, 0xA000)))
+    to = rules.transliterate(" ".join(han)).split(" ")
+    if len(to) != len(han):
+        raise RuntimeError("the ICU library does not map characters one by one")
+    return {a: b for a, b in zip(han, to) if a != b and len(b) == 1}
 
 
 def drop_symbols(c: Column) -> Column:
@@ -78,9 +77,9 @@ def bucket(token: Column) -> Column:
     return F.when(token.rlike(r"^\p{Nd}"), "digits").when(token.rlike("^[a-z]"), "latin").otherwise("run")
 
 
-def single_characters(token: Column) -> Column:
-    """Segmentation without a dictionary: each of the first LONGEST_RUN characters."""
-    return F.split(F.substring(token, 1, LONGEST_RUN), "")
+def single_characters(token: Column, longest: int | None = LONGEST_RUN) -> Column:
+    """Segmentation without a dictionary: each of the first ``longest`` characters, or of all."""
+    return F.split(F.substring(token, 1, longest) if longest else token, "")
 
 
 def value_length(c: Column) -> Column:

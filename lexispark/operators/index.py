@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field, replace
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lexispark.fields import DOUBLE, KEY, STRING, FieldSpec, infer
 from lexispark.functions import text as tx
-from lexispark.functions.segment import Words, segment_runs
+from lexispark.functions.scoring import average_length
+from lexispark.functions.segment import Dictionary, Words, segment_runs, segment_terms
 
 
 @dataclass(frozen=True)
@@ -20,7 +22,7 @@ class Analyzer:
     paths: int = 1
     variants: dict[str, str] = field(default_factory=dict)
     punctuation: str = ""
-    longest_run: int = tx.LONGEST_RUN
+    longest_run: int | None = tx.LONGEST_RUN
 
     def normalize(self, c):
         return tx.normalize(c, self.variants, self.punctuation)
@@ -33,7 +35,7 @@ class Analyzer:
         rest = [c for c in texts.columns if c != column]
         token = texts.select(*rest, F.explode(tx.tokens(self.normalize(F.col(column)))).alias("token"))
         if not self.words:
-            cut = F.split(F.substring("token", 1, self.longest_run), "")
+            cut = tx.single_characters(F.col("token"), self.longest_run)
             return token.select(*rest, F.explode(F.when(tx.is_plain(F.col("token")), F.array("token")).otherwise(cut)).alias("term"))
         plain = token.where(tx.is_plain(F.col("token"))).withColumnRenamed("token", "term")
         runs = segment_runs(token.where(~tx.is_plain(F.col("token"))), "token", self.paths, self.words, self.longest_run)
@@ -41,25 +43,33 @@ class Analyzer:
 
     def terms_python(self, value: str | None) -> list[tuple[str, int]]:
         """(term, position) of a query string, in order of position."""
-        from lexispark.functions.segment import segment_terms
-
         out: list[tuple[str, int]] = []
+        words = Dictionary(self.words)
         for token, at in tx.tokens_python(tx.normalize_python(value, self.variants, self.punctuation)):
             if tx.is_plain_python(token):
                 out.append((token, at))
             elif self.words:
-                out += [(t, at + p) for t, p in segment_terms(token, self.paths, self.words, self.longest_run)]
+                out += [(t, at + p) for t, p in segment_terms(token, self.paths, words, self.longest_run)]
             else:
                 out += [(c, at + i) for i, c in enumerate(token[: self.longest_run])]
         return out
 
 
+@dataclass(frozen=True)
+class Known:
+    """Numbers kept with an index, so that no query needs to count: live documents, (len_sum, doc_count) of each field."""
+
+    live: int | None
+    fields: dict[str, tuple[int, int]]
+
+
 @dataclass(frozen=True)
 class Index:
     """Lazy tables of one index; ``doc_id`` is the primary key of the documents.
 
     stored(doc_id, columns...), postings(field, term, doc_id, tf, dl), stats(field, type, len_sum, doc_count),
-    deletes(doc_id).
+    deletes(doc_id). A stored index also has terms(field, term, df), of which a term has a row for each segment,
+    and ``known``; without them queries count.
     """
 
     stored: DataFrame
@@ -69,6 +79,8 @@ class Index:
     specs: tuple[FieldSpec, ...]
     analyzer: Analyzer = Analyzer()
     any_deletes: bool = True
+    terms: DataFrame | None = None
+    known: Known | None = None
 
     def spec(self, name: str) -> FieldSpec | None:
         return next((s for s in self.specs if s.name == name), None)
@@ -78,8 +90,28 @@ class Index:
         return df.join(self.deletes, "doc_id", "left_anti") if self.any_deletes else df
 
     def points(self, name: str) -> DataFrame:
-        """(doc_id, value) of a numeric field."""
-        return self.stored.select("doc_id", F.col(name).cast("double").alias("value")).where(F.col("value").isNotNull())
+        """(doc_id, value) of a numeric field; whole and decimal numbers keep their type, as a double would round them."""
+        kind = point_type(self.stored.schema[name].dataType)
+        return self.stored.select("doc_id", F.col(name).cast(kind).alias("value")).where(F.col("value").isNotNull())
+
+    def least_bound(self, name: str, lower: float, n: int) -> float | None:
+        """A number at or below which at least ``n`` live points from ``lower`` on lie; None if none is known."""
+        return None
+
+    def live_count(self) -> Column:
+        """The number of live documents."""
+        return self.num_docs().scalar() if self.known is None or self.known.live is None else F.lit(self.known.live)
+
+    def average(self, name: str) -> Column:
+        """The floored average length of a field."""
+        if self.known is not None:
+            length, count = self.known.fields.get(name, (0, 0))
+            return average_length(F.lit(length), F.lit(count))
+        return self.stats.where(F.col("field") == name).agg(F.max(average_length(F.col("len_sum"), F.col("doc_count")))).scalar()
+
+    def frequencies(self) -> DataFrame:
+        """(field, term, df): rows to be summed by term; deleted documents count."""
+        return self.postings.select("field", "term", F.lit(1).alias("df")) if self.terms is None else self.terms
 
     def num_docs(self) -> DataFrame:
         """One row (num_docs): live documents."""
@@ -92,7 +124,14 @@ class Index:
     def with_deletes(self, ids: DataFrame) -> Index:
         """The index with more documents deleted; unknown ids and repeated deletes change nothing."""
         known = ids.select("doc_id").distinct().join(self.stored.select("doc_id"), "doc_id", "left_semi")
-        return replace(self, deletes=self.deletes.unionByName(known).distinct(), any_deletes=True)
+        return replace(self, deletes=self.deletes.unionByName(known).distinct(), any_deletes=True, known=self.known and replace(self.known, live=None))
+
+
+def point_type(kind: T.DataType) -> str:
+    """The SQL type in which numbers of a column are compared."""
+    if isinstance(kind, T.DecimalType):
+        return kind.simpleString()
+    return "bigint" if isinstance(kind, (T.LongType, T.IntegerType, T.ShortType, T.ByteType)) else "double"
 
 
 def build_postings(documents: DataFrame, specs: tuple[FieldSpec, ...], analyzer: Analyzer) -> DataFrame:

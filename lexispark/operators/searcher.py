@@ -2,18 +2,24 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexispark.fields import KEY
 from lexispark.functions import text as tx
 from lexispark.functions.scoring import average_length, bm25
+from lexispark.functions.segment import segment_runs
 from lexispark.operators.index import Index
 from lexispark.plans.compile import compile_query, no_hits, range_points
 from lexispark.plans.query import NumericRangeQuery, Query
 
 #: Hits up to this number are broadcast to fetch their documents.
 FEW_HITS = 10_000
+#: Rows of a batch of queries that are broadcast, with their terms as filters of the scan; larger batches are joined by keys.
+MOST_ASKED = 10_000
+#: Bins of one level that a range may touch, and the levels above the first.
+WIDE, LEVELS = 64, 8
 
 
 def top_n(hits: DataFrame, n: int) -> DataFrame:
@@ -37,24 +43,26 @@ class Searcher:
         if isinstance(query, NumericRangeQuery) and n is not None:
             if n <= 0:
                 return no_hits(self.index)
-            least = range_points(query, self.index).orderBy("value", "doc_id").limit(n)
+            # Where the quantiles of the points show that enough of them lie below some number, the rest isn't read.
+            most = self.index.least_bound(query.field, float(query.lower), n)
+            least = range_points(query, self.index, most).orderBy("value", "doc_id").limit(n)
             return least.select("doc_id", F.lit(0.0).cast("float").alias("score"))
         hits = compile_query(query, self.index)
         return hits if n is None else top_n(hits, n)
 
-    def docs(self, hits: DataFrame, few: bool = False) -> DataFrame:
-        """Stored columns and score of every hit; nothing for a deleted or unknown document.
+    def docs(self, hits: DataFrame, columns: list[str] | None = None) -> DataFrame:
+        """Stored columns (those named, or all) and score of every hit; nothing for a deleted or unknown document."""
+        return self._docs(hits, columns)
 
-        ``few`` says that the hits are limited to at most FEW_HITS rows and may be broadcast.
-        """
-        kept = [s.name for s in self.index.specs if s.stored and s.type != KEY]
-        some = hits.select("doc_id", "score")
-        found = self.index.stored.select("doc_id", *kept).join(F.broadcast(some) if few else some, "doc_id")
+    def _docs(self, some: DataFrame, columns: list[str] | None) -> DataFrame:
+        kept = [s.name for s in self.index.specs if s.stored and s.type != KEY and (columns is None or s.name in columns)]
+        found = self.index.stored.select("doc_id", *kept).join(some.select("doc_id", "score"), "doc_id")
         return self.index.live(found)
 
-    def fetch(self, query: Query, n: int) -> DataFrame:
-        """``docs`` of the n best hits."""
-        return self.docs(self.search(query, n), few=n <= FEW_HITS)
+    def fetch(self, query: Query, n: int, columns: list[str] | None = None) -> DataFrame:
+        """``docs`` of the n best hits. Up to FEW_HITS are broadcast, as the limit bounds them; more take Catalyst's choice of join."""
+        hits = self.search(query, n).limit(n)
+        return self._docs(F.broadcast(hits) if n <= FEW_HITS else hits, columns)
 
     def json(self, docs: DataFrame) -> DataFrame:
         """(doc_id, json) of fetched documents, the columns in their order, nulls left out."""
@@ -62,55 +70,83 @@ class Searcher:
 
     def search_many_terms(self, queries: DataFrame, n: int) -> DataFrame:
         """(qid, doc_id, score, rank): the n best for each row (qid, field, term) of ``queries``, in one job."""
-        asked = queries.select("qid", "field", "term")
-        scored = self._score(asked.select("field", "term").distinct())
-        return self._best(asked.join(scored, ["field", "term"]).select("qid", "doc_id", "score"), n)
+        asked, few = self._bounded(queries.select("qid", "field", "term"))
+        return self._best(self._scored(asked, few).select("qid", "doc_id", "score"), n)
 
     def search_many_strings(self, queries: DataFrame, n: int) -> DataFrame:
         """The same for rows (qid, field, text), analysed as columns: all terms, for queries without such a document any."""
         normalized = self.index.analyzer.normalize(F.col("text"))
         token = queries.select("qid", "field", F.posexplode(tx.tokens(normalized)).alias("at", "token"))
+        longest = self.index.analyzer.longest_run
         if self.index.analyzer.words:
-            from lexispark.functions.segment import segment_runs
-
-            runs = segment_runs(token, "token", self.index.analyzer.paths, self.index.analyzer.words, self.index.analyzer.longest_run)
+            token = segment_runs(token, "token", self.index.analyzer.paths, self.index.analyzer.words, longest)
             own = F.when(tx.is_plain(F.col("token")), F.array("token")).otherwise(F.col("segments.term"))
-            token = runs.select("qid", "field", "at", F.posexplode(own).alias("sub", "term"))
         else:
-            own = F.when(tx.is_plain(F.col("token")), F.array("token")).otherwise(tx.single_characters(F.col("token")))
-            token = token.select("qid", "field", "at", F.posexplode(own).alias("sub", "term"))
+            own = F.when(tx.is_plain(F.col("token")), F.array("token")).otherwise(tx.single_characters(F.col("token"), longest))
+        token = token.select("qid", "field", "at", F.posexplode(own).alias("sub", "term"))
         asked = token.groupBy("qid", "field", "term").agg(F.count("*").alias("times"), F.min(F.struct("at", "sub")).alias("first"))
-        size = asked.groupBy("qid").agg(F.count("*").alias("terms"))
-        scored = self._score(asked.select("field", "term").distinct())
-        by_doc = asked.join(scored, ["field", "term"]).groupBy("qid", "doc_id").agg(
-            F.count("*").alias("have"), F.sum(F.col("score") * F.col("times")).cast("float").alias("every"), F.min_by("score", "first").alias("any")
+        asked = asked.withColumn("terms", F.count("*").over(Window.partitionBy("qid")))
+        asked, few = self._bounded(asked)
+        by_doc = self._scored(asked, few).groupBy("qid", "doc_id").agg(
+            F.count("*").alias("have"), F.first("terms").alias("terms"), F.sum(F.col("score") * F.col("times")).cast("float").alias("every"), F.min_by("score", "first").alias("any")
         )
-        most = by_doc.groupBy("qid").agg(F.max("have").alias("most")).join(size, "qid")
+        most = by_doc.groupBy("qid").agg(F.max("have").alias("most"))  # a row for each query
         complete = F.col("most") == F.col("terms")
-        chosen = by_doc.join(most, "qid").where(~complete | (F.col("have") == F.col("terms")))
+        chosen = by_doc.join(F.broadcast(most) if few is not None else most, "qid").where(~complete | (F.col("have") == F.col("terms")))
         return self._best(chosen.select("qid", "doc_id", F.when(complete, F.col("every")).otherwise(F.col("any")).alias("score")), n)
 
     def search_many_ranges(self, ranges: DataFrame, field: str, width: float, n: int | None = None) -> DataFrame:
         """(qid, doc_id, value, rank): the n smallest values (all without n) for each row (qid, lower, upper).
 
-        Ranges and points meet in bins of ``width``, so each point is compared only with ranges that touch its bin;
-        ``width`` near the usual width of a range puts each range into two or three bins.
+        Ranges and points meet in bins, so each point is compared only with ranges that touch its bin. A range is put on the
+        level on which it touches at most WIDE + 1 bins; bins are ``width`` wide on the first level and WIDE times wider
+        on each further one, and those that are infinite, or beyond all levels, share one bin. A point has a row for each level in use.
         """
-        bin_of = lambda c: F.floor(c / F.lit(float(width)))
-        asked = ranges.where("lower <= upper").select("qid", "lower", "upper", F.explode(F.sequence(bin_of(F.col("lower")), bin_of(F.col("upper")))).alias("bin"))
-        points = self.index.points(field).withColumn("bin", bin_of(F.col("value")))
-        hits = self.index.live(points.join(asked, "bin").where(F.col("value").between(F.col("lower"), F.col("upper")))).select("qid", "doc_id", "value")
+        size = lambda level: F.lit(float(width)) * F.pow(F.lit(float(WIDE)), level)
+        asked = ranges.where("lower <= upper").select("qid", F.col("lower").cast("double").alias("lower"), F.col("upper").cast("double").alias("upper"))
+        spans = (F.col("upper") - F.col("lower")) / F.lit(float(width))
+        level = F.when(spans <= WIDE, 0).otherwise(F.least(F.ceil(F.log(float(WIDE), spans)) - 1, F.lit(LEVELS + 1))).cast("int")
+        near = F.greatest(F.abs("lower"), F.abs("upper")) / size(level) < float(1 << 52)  # beyond that bins have no exact number
+        asked = asked.withColumn("level", F.when((level <= LEVELS) & near, level).otherwise(-1))
+        bin_of = lambda c: F.when(F.col("level") < 0, F.lit(0)).otherwise(F.floor(c / size(F.col("level"))).cast("bigint"))
+        asked = asked.withColumn("bin", F.explode(F.sequence(bin_of(F.col("lower")), bin_of(F.col("upper")))))
+        used = sorted(r.level for r in asked.select("level").distinct().collect())  # LEVELS + 2 rows at most
+        points = self.index.points(field).select("doc_id", F.col("value").cast("double").alias("value"))
+        placed = points.withColumn("level", F.explode(F.array(*[F.lit(k) for k in used or [0]]))).withColumn("bin", bin_of(F.col("value")))
+        hits = self.index.live(placed.join(asked, ["level", "bin"]).where(F.col("value").between(F.col("lower"), F.col("upper")))).select("qid", "doc_id", "value")
         ranked = hits.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy("value", "doc_id")))
         return ranked if n is None else ranked.where(F.col("rank") <= n)
 
-    def _score(self, terms: DataFrame) -> DataFrame:
-        """(field, term, doc_id, score) of live postings of many terms."""
+    def _bounded(self, asked: DataFrame) -> tuple[DataFrame, pa.Table | None]:
+        """A batch of queries; if it has at most MOST_ASKED rows, as a local table, and those rows."""
+        rows = asked.limit(MOST_ASKED + 1).toArrow()
+        return (asked, None) if rows.num_rows > MOST_ASKED else (asked.sparkSession.createDataFrame(rows, asked.schema), rows)
+
+    def _scored(self, asked: DataFrame, rows: pa.Table | None) -> DataFrame:
+        """The columns of ``asked`` (field, term, ...) with (doc_id, score) of live postings.
+
+        The terms of a small batch are filters of the scans of postings and frequencies and are broadcast: postings
+        are not shuffled. A larger batch is joined by keys, hot terms cut by the adaptive skew join.
+        """
         index = self.index
-        mine = index.postings.join(terms, ["field", "term"], "left_semi")
-        df = mine.groupBy("field", "term").agg(F.count("*").alias("df"))
-        stats = F.broadcast(index.stats.select("field", average_length(F.col("len_sum"), F.col("doc_count")).alias("avgdl")))
-        score = bm25(index.num_docs().scalar(), F.col("df"), F.col("tf"), F.col("dl"), F.col("avgdl"))
-        return index.live(mine).join(df, ["field", "term"]).join(stats, "field").select("field", "term", "doc_id", score.alias("score"))
+        postings, counts = index.postings, index.frequencies()
+        few = rows is not None
+        if few:
+            fields, terms = (rows.column(c).drop_null().unique().to_pylist() for c in ("field", "term"))
+            wanted = F.col("field").isin(fields) & F.col("term").isin(terms)
+            postings, counts = postings.where(wanted), counts.where(wanted)
+        pairs = asked.select("field", "term").distinct()
+        counts = counts.join(F.broadcast(pairs) if few else pairs, ["field", "term"], "left_semi").groupBy("field", "term").agg(F.sum("df").alias("df"))
+        asked = asked.join(counts, ["field", "term"])
+        if index.known is None:
+            stats = index.stats.select("field", average_length(F.col("len_sum"), F.col("doc_count")).alias("avgdl"))
+            asked = asked.join(F.broadcast(stats), "field")  # a row for each field
+        else:
+            average = [x for f in index.known.fields for x in (F.lit(f), index.average(f))]
+            asked = asked.withColumn("avgdl", F.try_element_at(F.create_map(*average), F.col("field")))
+        met = index.live(postings.join(F.broadcast(asked) if few else asked, ["field", "term"]))
+        score = bm25(index.live_count(), F.col("df"), F.col("tf"), F.col("dl"), F.col("avgdl"))
+        return met.withColumn("score", score).drop("df", "tf", "dl", "avgdl")
 
     def _best(self, hits: DataFrame, n: int) -> DataFrame:
         # The rank filter is applied within each task before the shuffle, so a query with most documents stays small.

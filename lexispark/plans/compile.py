@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import math
 from collections import Counter
+from decimal import Decimal
 from functools import singledispatch
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexispark.fields import DOUBLE, STRING
-from lexispark.functions.scoring import average_length, bm25
+from lexispark.functions.scoring import bm25
 from lexispark.operators.index import Index
 from lexispark.plans.query import MUST, BooleanQuery, NumericRangeQuery, Query, StringQuery, TermQuery
 
@@ -23,19 +25,18 @@ def no_hits(index: Index) -> DataFrame:
 def scored_postings(index: Index, field: str, terms: list[str]) -> DataFrame:
     """(term, doc_id, score) of live postings of ``terms`` in one field.
 
-    df counts every posting, deleted documents included; n only live documents. What is one number for the whole
-    query (n, the average length, df of a single term) is a scalar subquery, not a join.
+    df counts every posting, deleted documents included; n only live documents. What is one number for the whole query
+    is kept with a stored index (n, the average length) or looked up by a scalar subquery (df of a single term), never joined.
     """
-    mine = index.postings.where((F.col("field") == field) & F.col("term").isin(terms)).select("term", "doc_id", "tf", "dl")
-    average = index.stats.where(F.col("field") == field).agg(F.max(average_length(F.col("len_sum"), F.col("doc_count")))).scalar()
-    n = index.num_docs().scalar()
-    live = index.live(mine)
+    wanted = (F.col("field") == field) & F.col("term").isin(terms)
+    live = index.live(index.postings.where(wanted).select("term", "doc_id", "tf", "dl"))
+    counts = index.frequencies().where(wanted)
     if len(terms) == 1:
-        df = mine.agg(F.count("*")).scalar()
+        df = counts.agg(F.sum("df")).scalar()
     else:  # a row for each term of the query
-        live = live.join(F.broadcast(mine.groupBy("term").agg(F.count("*").alias("df"))), "term")
+        live = live.join(F.broadcast(counts.groupBy("term").agg(F.sum("df").alias("df"))), "term")
         df = F.col("df")
-    return live.select("term", "doc_id", bm25(n, df, F.col("tf"), F.col("dl"), average).alias("score"))
+    return live.select("term", "doc_id", bm25(index.live_count(), df, F.col("tf"), F.col("dl"), index.average(field)).alias("score"))
 
 
 @singledispatch
@@ -57,12 +58,38 @@ def _(query: NumericRangeQuery, index: Index) -> DataFrame:
     return range_points(query, index).select("doc_id", F.lit(0.0).cast("float").alias("score"))
 
 
-def range_points(query: NumericRangeQuery, index: Index) -> DataFrame:
-    """(doc_id, value) of live points between the bounds; the comparison reaches the scan."""
+def range_points(query: NumericRangeQuery, index: Index, most: float | None = None) -> DataFrame:
+    """(doc_id, value) of live points between the bounds, and at most ``most``; the comparison reaches the scan.
+
+    Bounds are compared in the type of the points, so whole numbers of any size are told apart.
+    """
     spec = index.spec(query.field)
     if spec is None or spec.type != DOUBLE:
         return index.stored.sparkSession.createDataFrame([], "doc_id bigint, value double")
-    return index.live(index.points(query.field).where(F.col("value").between(float(query.lower), float(query.upper))))
+    points = index.points(query.field)
+    kind = dict(points.dtypes)["value"]
+    lower, upper = (F.lit(x).cast(kind) for x in whole_bounds(query.lower, query.upper)) if kind == "bigint" else (number(x, kind) for x in (query.lower, query.upper))
+    inside = F.col("value").between(lower, upper)
+    return index.live(points.where(inside if most is None else inside & (F.col("value") <= number(most, kind))))
+
+
+def number(x: float | int | Decimal, kind: str) -> Column:
+    """A bound for points of a type. Fractions beyond what a decimal column holds are kept, as the column is widened."""
+    if kind == "double":
+        return F.lit(float(x))
+    if isinstance(x, float) and not math.isfinite(x):
+        return F.lit(x)  # compared as doubles; every decimal is on the same side
+    return F.lit(Decimal(repr(x) if isinstance(x, float) else x))
+
+
+def whole_bounds(lower: float, upper: float) -> tuple[int, int]:
+    """The least and the greatest bigint between two bounds; the first exceeds the second if there is none."""
+    least, most = -(1 << 63), (1 << 63) - 1
+    if lower != lower or upper != upper:
+        return 1, 0
+    low = least if lower <= least else most + 1 if lower > most else math.ceil(lower)
+    high = most if upper >= most else least - 1 if upper < least else math.floor(upper)
+    return (low, high) if low <= most and high >= least else (1, 0)
 
 
 @compile_query.register

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,13 +13,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; only where that is unset (tests) a temporary one."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        named = spark.sparkContext.getCheckpointDir()
+    """The folder named by ``spark.checkpoint.dir``, which every executor must reach.
+
+    Only a session on one machine (master ``local``) may go without: its warehouse folder serves then.
+    """
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
-        named = tempfile.mkdtemp(prefix="lexispark-")
-        spark.sparkContext.setCheckpointDir(named)
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        named = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/lexispark"
     return named.rstrip("/")
 
 
@@ -31,6 +32,12 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     executor never recomputes what lies before it.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/lexispark-{tag}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/lexispark-{spark.sparkContext.applicationId}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def remove_materialized(spark: SparkSession) -> None:
+    """Remove every table that this application has materialized; none of the results that read them may be used after it."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/lexispark-{spark.sparkContext.applicationId}")
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)

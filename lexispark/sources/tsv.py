@@ -2,26 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(line_no, line) from 0 in the order of the file's parts.
+    """(line_no, line) from 0 in the order of the files' names and, within a file, of its lines.
 
-    Two passes: the lines of each partition are counted, and each partition numbers its own from the sum of those
-    before it; only one number for each partition reaches the driver.
+    Two passes: the lines of each split of a file are counted, and each split numbers its own from the sum of those before
+    it. Spark orders splits by size, so a split is known by its file and its first byte, not by its place. What is
+    broadcast is a row for each split (some millionth of the text).
     """
-    lines = spark.read.text(path).withColumn("_id", F.monotonically_increasing_id())
-    part = F.shiftrightunsigned("_id", 33)
-    counts = dict(lines.groupBy(part.alias("p")).count().collect())
-    before, sums = 0, []
-    for p in sorted(counts):
-        sums.append((p, before))
-        before += counts[p]
-    offsets = spark.createDataFrame(sums or [(0, 0)], "p bigint, before bigint")
-    at = F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))
-    return lines.withColumn("p", part).join(F.broadcast(offsets), "p").select((F.col("before") + at).alias("line_no"), F.col("value").alias("line"))
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("_path"), F.col("_metadata.file_block_start").alias("_start"), F.monotonically_increasing_id().alias("_id"))
+    splits = lines.groupBy("_path", "_start").agg(F.count("*").alias("n"), F.min("_id").alias("first"))
+    earlier = Window.orderBy("_path", "_start").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = splits.select("_path", "_start", "first", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
+    return lines.join(F.broadcast(offsets), ["_path", "_start"]).select((F.col("before") + F.col("_id") - F.col("first")).alias("line_no"), F.col("value").alias("line"))
 
 
 def parse_goods(lines: DataFrame, float32: bool = False, key_offset: int = 0, whole_split: bool = False) -> DataFrame:

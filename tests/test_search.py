@@ -10,7 +10,7 @@ from lexispark.operators.index import build_index
 from lexispark.operators.searcher import Searcher, top_n
 from lexispark.operators.store import DuplicateKey, FormatTooOld, IndexStore
 from lexispark.plans.query import MUST, SHOULD, BooleanQuery, NumericRangeQuery, Query, StringQuery, TermQuery
-from lexispark.streaming.ingest import ingest
+from lexispark.streaming.ingest import ingest, stream_id
 
 DOCS = [(1, "red widget", 5.3), (2, "blue widget", 12.1), (3, "red red bolt", -4.0), (4, "small ring", 18.56), (5, "widget", 0.0)]
 SCHEMA = "uniqueID bigint, title string, price double"
@@ -184,7 +184,7 @@ def test_store(spark, docs, tmp_path):
     with pytest.raises(FormatTooOld):
         store.open()
     store.wipe()
-    assert store.manifest()["version"] == 0
+    assert store.manifest()["next"] == 1
 
 
 def test_points_of_the_store_are_pruned(spark, tmp_path):
@@ -200,7 +200,7 @@ def test_streaming_ingest_is_idempotent(spark, docs, tmp_path):
     stream = spark.readStream.schema(docs.schema).parquet(f"{tmp_path}/in")
     ingest(stream, store, "uniqueID", f"{tmp_path}/cp").awaitTermination()
     assert store.open().stored.count() == 5
-    store.append(docs, "uniqueID", batch=0)  # a replay
+    store.append(docs, "uniqueID", stream=stream_id(spark, f"{tmp_path}/cp"), batch=0)  # a replay
     assert store.open().stored.count() == 5 and len(store.manifest()["segments"]) == 1
 
 
