@@ -22,6 +22,7 @@ from lexispark.plans.workload import random_ranges
 from lexispark.session import shared_dir, table
 from lexispark.sources.records import parse_records
 from lexispark.sources.tsv import load_documents, load_titles, load_words, parse_goods
+from lexispark.streaming.ingest import ingest
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -106,13 +107,14 @@ def _normal_sql(value: str) -> str:
     return rf"regexp_replace(regexp_replace(lower({half}), '{tx.ASTRAL}', '  ', 'g'), '{tx.DROPPED}', ' ', 'g')"
 
 
-def _postings_sql(source: str, key: str, value: str, field: str) -> str:
+def _postings_sql(source: str, key: str, value: str, field: str, longest: int | None = tx.LONGEST_RUN) -> str:
     """CTEs tokens, postings and field statistics of one text column, without a dictionary."""
+    run = f"substr(token, 1, {longest})" if longest else "token"
     return rf"""
 docs AS (SELECT {key} AS doc_id, {value} AS value FROM {source} WHERE {value} IS NOT NULL),
 tokens AS (SELECT doc_id, value, unnest(regexp_extract_all({_normal_sql('value')}, '{tx.TOKEN}')) AS token FROM docs),
 terms AS (SELECT doc_id, length(value) + length(regexp_replace(value, '[^\x{{10000}}-\x{{10FFFF}}]', '', 'g')) AS dl,
-    unnest(CASE WHEN regexp_matches(token, '{tx.PLAIN}') THEN [token] ELSE string_split(substr(token, 1, {tx.LONGEST_RUN}), '') END) AS term FROM tokens),
+    unnest(CASE WHEN regexp_matches(token, '{tx.PLAIN}') THEN [token] ELSE string_split({run}, '') END) AS term FROM tokens),
 postings AS (SELECT '{field}' AS field, term, doc_id, count(*)::INT AS tf, dl::INT AS dl FROM terms GROUP BY term, doc_id, dl),
 stats AS (SELECT sum(length(value) + length(regexp_replace(value, '[^\x{{10000}}-\x{{10FFFF}}]', '', 'g')))::BIGINT AS len_sum, count(*) AS doc_count FROM docs)"""
 
@@ -148,7 +150,12 @@ def _part_index(spark: SparkSession, sf_dir: str) -> Index:
 
 _TEXT = "WITH " + _postings_sql("documents", "doc_id", "text", "text")
 _PART = "WITH " + _postings_sql("part", "p_partkey", "p_name", "title")
-_TITLES = "WITH " + _postings_sql("(SELECT unique_id, min(title) AS title FROM goods_doc WHERE title IS NOT NULL GROUP BY unique_id)", "unique_id", "title", "title")
+_ONE_TITLE = "(SELECT unique_id, min(title) AS title FROM goods_doc WHERE title IS NOT NULL GROUP BY unique_id)"
+_TITLES = "WITH " + _postings_sql(_ONE_TITLE, "unique_id", "title", "title")
+
+
+def _titles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "goods_doc").where("title IS NOT NULL").groupBy("unique_id").agg(F.min("title").alias("title"))
 
 
 @query(f"SELECT doc_id, {_normal_sql('text')} AS normalized FROM documents")
@@ -164,6 +171,12 @@ def normalize_golden(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(rows, "value string").select("value", tx.normalize(F.col("value"), tx.simplified_characters(), "、").alias("normalized"))
 
 
+@query(f"SELECT doc_id, translate({_normal_sql('text')}, '-.', '  ') AS normalized FROM documents")
+def normalize_punctuation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F5 over every text: listed characters become blanks."""
+    return _documents(spark, sf_dir).select("doc_id", tx.normalize(F.col("text"), punctuation="-.").alias("normalized"))
+
+
 @query(_TEXT + " SELECT doc_id, token, count(*) AS n FROM tokens GROUP BY doc_id, token")
 def analyze_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of every text, with their number."""
@@ -201,8 +214,13 @@ def postings_tf(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(_TITLES + " SELECT field, term, doc_id, tf, dl FROM postings")
 def postings_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The inverted index of every product title, Han characters one by one."""
-    goods = table(spark, sf_dir, "goods_doc").where("title IS NOT NULL").groupBy("unique_id").agg(F.min("title").alias("title"))
-    return build_index(goods, "unique_id").postings
+    return build_index(_titles(spark, sf_dir), "unique_id").postings
+
+
+@query("WITH " + _postings_sql(_ONE_TITLE, "unique_id", "title", "title", None) + " SELECT field, term, doc_id, tf, dl FROM postings")
+def postings_whole_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same without the cut of long runs: every character of every title is in the index."""
+    return build_index(_titles(spark, sf_dir), "unique_id", analyzer=Analyzer(longest_run=None)).postings
 
 
 @query(_TEXT + " SELECT field, term, count(*) AS df, sum(tf)::BIGINT AS occurrences FROM postings GROUP BY field, term")
@@ -296,6 +314,12 @@ def bool_term_and_range(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Searcher(_part_index(spark, sf_dir)).search(BooleanQuery(MUST, TermQuery("title", "widget"), NumericRangeQuery("price", 905, 920)))
 
 
+@query(_PART_SCORES + "," + _string_sql({"red": 1, "widget": 1}) + " AND doc_id IN (SELECT p_partkey FROM part WHERE p_retailprice BETWEEN 905 AND 1000)")
+def bool_string_and_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A string query as a clause."""
+    return Searcher(_part_index(spark, sf_dir)).search(BooleanQuery(MUST, StringQuery("title", "Red widget"), NumericRangeQuery("price", 905, 1000)))
+
+
 @query(f"{_PART_SCORES}, {_RED} SELECT doc_id, score FROM widget WHERE doc_id NOT IN (SELECT doc_id FROM red)")
 def bool_must_not(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An extension."""
@@ -393,12 +417,12 @@ def docs_as_json(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- Deletes, keys, segments --------------------------------------------------------------------------------
 
-_DEAD = "SELECT o_custkey AS doc_id FROM orders WHERE o_orderkey % 7 = 0 AND o_custkey IN (SELECT p_partkey FROM part)"
+_DEAD = "SELECT o_custkey AS doc_id FROM orders WHERE o_custkey IN (SELECT p_partkey FROM part)"
 
 
 def _with_deletes(spark: SparkSession, sf_dir: str) -> Index:
-    dead = table(spark, sf_dir, "orders").where("o_orderkey % 7 = 0").select(F.col("o_custkey").alias("doc_id"))
-    return _part_index(spark, sf_dir).with_deletes(dead)
+    """Every row of orders is a delete."""
+    return _part_index(spark, sf_dir).with_deletes(table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("doc_id")))
 
 
 @query(f"{_PART},{_scores_sql(_DEAD)} SELECT doc_id, score FROM scored WHERE term = 'widget'")
@@ -419,31 +443,6 @@ def num_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return index.num_docs().withColumn("total_docs", index.total_docs().scalar())
 
 
-_ALL_DEAD = "SELECT o_custkey AS doc_id FROM orders WHERE o_custkey IN (SELECT p_partkey FROM part)"
-
-
-def _with_all_deletes(spark: SparkSession, sf_dir: str) -> Index:
-    """Every row of orders is a delete."""
-    return _part_index(spark, sf_dir).with_deletes(table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("doc_id")))
-
-
-@query(f"{_PART},{_scores_sql(_ALL_DEAD)} SELECT doc_id, score FROM scored WHERE term = 'widget'")
-def bm25_after_all_deletes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return Searcher(_with_all_deletes(spark, sf_dir)).search(TermQuery("title", "widget"))
-
-
-@query(f"SELECT p_partkey AS doc_id, {_STORED}, 0::FLOAT AS score FROM part WHERE p_retailprice BETWEEN 910 AND 930 AND p_partkey NOT IN ({_ALL_DEAD})")
-def delete_all_then_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    search = Searcher(_with_all_deletes(spark, sf_dir))
-    return search.docs(search.search(NumericRangeQuery("price", 910, 930)))
-
-
-@query(f"SELECT count(*) AS num_docs, (SELECT max(p_partkey) FROM part) AS total_docs FROM part WHERE p_partkey NOT IN ({_ALL_DEAD})")
-def num_docs_after_all_deletes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    index = _with_all_deletes(spark, sf_dir)
-    return index.num_docs().withColumn("total_docs", index.total_docs().scalar())
-
-
 @query("SELECT unique_id AS doc_id, count(*) AS n FROM goods_doc GROUP BY unique_id HAVING count(*) > 1")
 def pk_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Products delivered more than once."""
@@ -461,6 +460,60 @@ def append_then_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Searcher(store.open()).search(TermQuery("title", "widget"))
 
 
+@query("SELECT p_partkey AS doc_id, p_name AS title, p_retailprice AS price, 0::FLOAT AS score FROM part WHERE p_retailprice >= 910 ORDER BY p_retailprice, p_partkey LIMIT 40")
+def range_after_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The smallest prices from 910 on, out of the sorted points of two merged segments, with the documents."""
+    part = table(spark, sf_dir, "part").select("p_partkey", F.col("p_name").alias("title"), F.col("p_retailprice").alias("price"))
+    store = IndexStore(spark, f"{shared_dir(spark)}/index-{uuid.uuid4().hex}")
+    for k in range(2):
+        store.append(part.where(f"p_partkey % 2 = {k}"), "p_partkey")
+    store.merge()
+    return Searcher(store.open()).fetch(NumericRangeQuery("price", 910, float("inf")), 40)
+
+
+@query("SELECT p_partkey AS doc_id, p_name AS title, p_retailprice AS price FROM part")
+def stream_ingest_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All parts through two streams of files, each with its own batches from 0 on."""
+    work = f"{shared_dir(spark)}/index-{uuid.uuid4().hex}"
+    part = table(spark, sf_dir, "part").select("p_partkey", F.col("p_name").alias("title"), F.col("p_retailprice").alias("price"))
+    store = IndexStore(spark, f"{work}/index")
+    for k in range(2):
+        part.where(f"p_partkey % 2 = {k}").repartition(2).write.parquet(f"{work}/in-{k}")
+        stream = spark.readStream.schema(part.schema).option("maxFilesPerTrigger", 1).parquet(f"{work}/in-{k}")
+        ingest(stream, store, "p_partkey", f"{work}/checkpoint-{k}").awaitTermination()
+    return store.open().stored
+
+
+@query("SELECT * FROM (VALUES (1, 'append', 'done'), (2, 'append again', 'DuplicateKey'), (3, 'append under a replayed batch', 'nothing'), (4, 'open an old format', 'FormatTooOld'), (5, 'open after wipe', 'FileNotFoundError')) AS t(step, call, outcome)")
+def store_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keys taken, a batch that is in, an old format, a wiped folder."""
+    nation = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
+    store = IndexStore(spark, f"{shared_dir(spark)}/index-{uuid.uuid4().hex}")
+
+    def outcome(call: Callable[[], object]) -> str:
+        before = store.manifest()["next"]
+        try:
+            call()
+        except (ValueError, FileNotFoundError) as e:
+            return type(e).__name__
+        return "done" if store.manifest()["next"] > before else "nothing"
+
+    calls = {
+        "append": lambda: store.append(nation, "n_nationkey", stream="s", batch=0),
+        "append again": lambda: store.append(nation, "n_nationkey"),
+        "append under a replayed batch": lambda: store.append(nation, "n_nationkey", stream="s", batch=0),
+    }
+    rows = [(call, outcome(f)) for call, f in calls.items()]
+    store._commit(store.manifest() | {"format_version": 0})
+    try:
+        store.open()
+    except ValueError as e:
+        rows.append(("open an old format", type(e).__name__))
+    store.wipe()
+    rows.append(("open after wipe", outcome(store.open)))
+    return spark.createDataFrame([(i + 1, *r) for i, r in enumerate(rows)], "step int, call string, outcome string")
+
+
 @query("""SELECT 'p_name' AS field, 'string' AS type, sum(length(p_name))::BIGINT AS len_sum, count(*) AS doc_count FROM part
 UNION ALL SELECT 'p_partkey', 'key', 8 * count(*)::BIGINT, count(*) FROM part UNION ALL SELECT 'p_retailprice', 'double', count(*)::BIGINT, count(*) FROM part""")
 def merged_field_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -489,6 +542,33 @@ def prefix_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return terms.select("o_orderkey", F.col("t.shift").cast("bigint").alias("shift"), "t.prefix")
 
 
+@query("""SELECT o_orderkey, list_aggregate([printf('%02X', (o_orderkey >> s) & 127) FOR s IN [57, 50, 43, 36, 29, 22, 15, 8, 1]], 'string_agg', '') || printf('%02X', o_orderkey & 1) AS packed,
+list_aggregate([printf('%02X', ((o_orderkey >> (7 * i)) & 127) | CASE WHEN (o_orderkey >> (7 * i + 7)) > 0 THEN 128 ELSE 0 END) FOR i IN range(9) IF i = 0 OR (o_orderkey >> (7 * i)) > 0], 'string_agg', '') AS short,
+o_orderkey AS unpacked, o_orderkey AS lengthened, -o_orderkey AS ordered FROM orders""")
+def number_codecs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order keys packed by seven bits and as numbers of variable length, and read back; negative ones from eight bytes."""
+    key = F.col("o_orderkey")
+    coded = table(spark, sf_dir, "orders").select("o_orderkey", numeric.seven_bit(key).alias("p"), numeric.variable_length(key).alias("v"), numeric.big_endian(-key).alias("b"))
+    return coded.select(
+        "o_orderkey", F.hex("p").alias("packed"), F.hex("v").alias("short"), numeric.from_seven_bit(F.col("p")).alias("unpacked"),
+        numeric.from_variable_length(F.col("v")).alias("lengthened"), numeric.from_big_endian(F.col("b")).alias("ordered"),
+    )
+
+
+@query("""WITH pairs AS (SELECT c_custkey, c_name AS a, substr(c_name, 1, CAST(c_custkey % 20 AS INT)) || CASE WHEN c_custkey % 3 = 0 THEN 'é' ELSE '' END AS b FROM customer)
+SELECT c_custkey, CASE WHEN a = b THEN 0 WHEN starts_with(b, a) THEN 1 WHEN starts_with(a, b) THEN -1 WHEN encode(a) < encode(b) THEN -1 ELSE 1 END::INT AS sign FROM pairs""")
+def byte_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The order of byte strings in which a beginning of another one is the greater."""
+    a, b = F.col("c_name"), F.concat(F.expr("substr(c_name, 1, int(c_custkey % 20))"), F.when(F.col("c_custkey") % 3 == 0, "é").otherwise(""))
+    return table(spark, sf_dir, "customer").select("c_custkey", numeric.compare_bytes(F.encode(a, "utf-8"), F.encode(b, "utf-8")).alias("sign"))
+
+
+@query("SELECT strftime(l_shipdate, '%Y%m%d') AS day, count(*) AS n FROM lineitem GROUP BY ALL")
+def date_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ship dates as eight figures."""
+    return table(spark, sf_dir, "lineitem").groupBy(numeric.date_text(F.col("l_shipdate")).alias("day")).agg(F.count("*").alias("n"))
+
+
 # --- Segmentation and sources -------------------------------------------------------------------------------
 
 _DICTIONARY = frozenset("丰田 凯美瑞 仪表台 防晒 隔热 防晒隔热 适用 适用于 于丰 研究 研究生 生命 命起 起源 喜欢 中控".split())
@@ -505,39 +585,61 @@ def segment_paths_golden(spark: SparkSession, sf_dir: str) -> DataFrame:
     return segment_paths(texts, "text", 3, _DICTIONARY).select("text", "path", F.array_join("words", "/").alias("words"))
 
 
-@query("""WITH RECURSIVE words AS (SELECT DISTINCT trim(word) AS word FROM word_list WHERE trim(word) <> ''),
-runs AS (SELECT DISTINCT trim(word) AS run FROM word_list WHERE trim(word) <> '' AND regexp_matches(trim(word), '^[\\x{4e00}-\\x{9fff}]+$'))
-SELECT run, run AS term, 0 AS pos FROM runs""")
-def nshortest_path_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every word of the word list is one term of its own dictionary."""
-    listed = table(spark, sf_dir, "word_list")
-    words = load_words(listed)
-    runs = listed.select(F.trim("word").alias("run")).where("run <> ''").distinct().where(F.col("run").rlike("^[\\x{4e00}-\\x{9fff}]+$"))
-    return segment_runs(runs, "run", 1, words).select("run", F.explode("segments").alias("s")).select("run", "s.term", "s.pos")
+@query("SELECT * FROM (VALUES ('研究生命起源', '研/究/生命起源'), ('适用于丰田', '适/用于/丰/田')) AS t(text, words)")
+def dictionary_replaced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Another dictionary takes the place of the first."""
+    texts = spark.createDataFrame([("研究生命起源",), ("适用于丰田",)], "text string")
+    return segment_paths(texts, "text", 1, frozenset(["生命起源", "用于"])).select("text", F.array_join("words", "/").alias("words"))
+
+
+def _paths_sql(runs: str, n: int) -> str:
+    """CTEs dict and ways(run, best): the n paths of fewest words of each distinct run, place by place."""
+    return f"""
+dict AS (SELECT list(DISTINCT trim(word)) AS words, max(length(trim(word))) AS longest FROM word_list WHERE trim(word) <> ''),
+runs AS ({runs}),
+steps AS (
+  SELECT run, 0 AS place, [[{{'cost': 0::BIGINT, 'start': 0::BIGINT, 'rank': 0::BIGINT, 'path': []::STRUCT(term VARCHAR, pos INT)[]}}]] AS ways FROM runs
+  UNION ALL
+  SELECT run, place + 1, list_append(ways, list_slice(list_sort(flatten(list_transform(range(greatest(0, place + 1 - longest), place + 1), lambda s:
+    CASE WHEN s = place OR list_contains(words, substr(run, s + 1, place + 1 - s)) THEN list_transform(ways[s + 1], lambda w, i: {{'cost': w.cost + 1, 'start': s, 'rank': i::BIGINT,
+      'path': list_append(w.path, {{'term': substr(run, s + 1, place + 1 - s), 'pos': s::INT}})}}) ELSE [] END))), 1, {n})) FROM steps, dict WHERE place < length(run)),
+ways AS (SELECT run, ways[length(run) + 1] AS best FROM steps WHERE place = length(run))"""
+
 
+_CUT = f"substr(token, 1, {tx.LONGEST_RUN})"
 
-@query()
+
+def _runs_sql(run: str) -> str:
+    return f"SELECT DISTINCT {run} AS run FROM tokens WHERE NOT regexp_matches(token, '{tx.PLAIN}')"
+
+
+@query(_TITLES.replace("WITH ", "WITH RECURSIVE ", 1) + "," + _paths_sql(_runs_sql(_CUT), 2) + f"""
+, parts AS (SELECT run, unnest(list_distinct(flatten(list_transform(best, lambda w: w.path)))) AS p FROM ways),
+cut AS (SELECT doc_id, dl_of(value) AS dl, token, {_CUT} AS run FROM tokens),
+found AS (SELECT doc_id, dl, token AS term FROM cut WHERE regexp_matches(token, '{tx.PLAIN}') UNION ALL SELECT doc_id, dl, p.term FROM cut JOIN parts USING (run) WHERE NOT regexp_matches(token, '{tx.PLAIN}'))
+SELECT 'title' AS field, term, doc_id, count(*)::INT AS tf, dl::INT AS dl FROM found GROUP BY term, doc_id, dl""".replace("dl_of(value)", "length(value) + length(regexp_replace(value, '[^\\x{10000}-\\x{10FFFF}]', '', 'g'))"))
 def nshortest_path_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The inverted index of all titles, runs segmented by the word list with two paths."""
-    goods = table(spark, sf_dir, "goods_doc").where("title IS NOT NULL").groupBy("unique_id").agg(F.min("title").alias("title"))
     words = load_words(table(spark, sf_dir, "word_list"))
-    return build_index(goods, "unique_id", analyzer=Analyzer(words=words, paths=2)).postings
+    return build_index(_titles(spark, sf_dir), "unique_id", analyzer=Analyzer(words=words, paths=2)).postings
 
 
-@query("""SELECT raw_id + 200000 AS "uniqueID", string_split(raw_line, chr(9))[2] AS title, try_cast(string_split(raw_line, chr(9))[3] AS FLOAT)::DOUBLE AS price FROM goods_raw
-WHERE regexp_matches(raw_line, '^[^"\\t]*\\t[^"\\t]*\\t[0-9]+([.][0-9]+)?\\z')""")
-def tsv_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Product lines as documents of a second batch: full split, single-precision prices, shifted keys."""
-    lines = table(spark, sf_dir, "goods_raw").where(F.col("raw_line").rlike('^[^"\\t]*\\t[^"\\t]*\\t[0-9]+([.][0-9]+)?\\z'))
-    return parse_goods(lines.select(F.col("raw_id").alias("line_no"), F.col("raw_line").alias("line")), float32=True, key_offset=200_000, whole_split=True).select("uniqueID", "title", "price")
-
+@query(_TITLES.replace("WITH ", "WITH RECURSIVE ", 1) + "," + _paths_sql(_runs_sql("token"), 3) + """
+, numbered AS (SELECT run, unnest(best) AS w, generate_subscripts(best, 1) AS path FROM ways)
+SELECT run AS text, path::INT AS path, w.cost::INT AS cost, list_aggregate(list_transform(w.path, lambda p: p.term), 'string_agg', '/') AS words FROM numbered""")
+def segment_paths_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Up to three paths of every run of every title, whole runs of any length."""
+    token = _titles(spark, sf_dir).select(F.explode(tx.tokens(tx.normalize(F.col("title")))).alias("token"))
+    words = load_words(table(spark, sf_dir, "word_list"))
+    return segment_paths(token.where(~tx.is_plain(F.col("token"))), "token", 3, words).select("text", "path", "cost", F.array_join("words", "/").alias("words"))
 
-@query()
-def tsv_documents_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every product line as a document, as ``tsv_documents`` without its choice of lines: quotes are plain characters, further fields ignored, a price that is no number null.
 
-    No SQL: prices are numbers as Java reads them ('0x1p3' and '32.28d' are, '1_23.36' is not), which DuckDB's casts are not.
-    """
+@query(r"""WITH fields AS (SELECT raw_id, string_split(raw_line, chr(9))[2] AS title, regexp_replace(string_split(raw_line, chr(9))[3], '^[\x00-\x20]+|[\x00-\x20]+$', '', 'g') AS price FROM goods_raw)
+SELECT raw_id + 200000 AS "uniqueID", title, CASE WHEN regexp_matches(price, '^[+-]?(NaN|Infinity|([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?[fFdD]?)$')
+  THEN try_cast(try_cast(regexp_replace(regexp_replace(price, '[fFdD]$', ''), '^[+]', '') AS DOUBLE) AS FLOAT)::DOUBLE END AS price FROM fields""")
+def tsv_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every product line as a document of a second batch: full split, quotes plain characters, single-precision prices,
+    shifted keys. Prices are numbers as Java reads them, of which the SQL knows all but hexadecimal ones; any other is null."""
     lines = table(spark, sf_dir, "goods_raw").select(F.col("raw_id").alias("line_no"), F.col("raw_line").alias("line"))
     return parse_goods(lines, float32=True, key_offset=200_000, whole_split=True).select("uniqueID", "title", "price")
 
@@ -576,10 +678,10 @@ def tsv_title_sampler(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load_titles(spark, _goods_file(spark, sf_dir), 100)
 
 
-@query("SELECT p_partkey AS doc_id, length(p_name) AS utf16, length(p_name) AS characters FROM part")
+@query(r"SELECT doc_id, length(text) AS characters, octet_length(encode(text)) AS utf8, length(text) + length(regexp_replace(text, '[^\x{10000}-\x{10FFFF}]', '', 'g')) AS utf16 FROM documents")
 def value_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lengths of values as the index counts them."""
-    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc_id"), tx.value_length(F.col("p_name")).alias("utf16"), F.length("p_name").alias("characters"))
+    """Lengths of texts in characters, in bytes, and as the index counts them."""
+    return _documents(spark, sf_dir).select("doc_id", F.length("text").alias("characters"), F.octet_length("text").alias("utf8"), tx.value_length(F.col("text")).alias("utf16"))
 
 
 @query(_TEXT + rf""" SELECT doc_id, CASE WHEN regexp_matches(token, '^\p{{Nd}}') THEN 'digits' WHEN regexp_matches(token, '^[a-z]') THEN 'latin' ELSE 'run' END AS bucket, count(*) AS n
@@ -602,18 +704,10 @@ def token_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "term", "pos", (F.col("pos") - F.lag("pos", 1, -1).over(Window.partitionBy("doc_id").orderBy("pos", "term"))).alias("increment"))
 
 
-@query("SELECT * FROM (VALUES ('a', 2, 3.0::FLOAT), ('a', 3, 2.0), ('b', 1, 0.0), ('b', 2, 0.0), ('b', 3, 0.0), ('c', 10, 1.0), ('c', 20, 2.0), ('d', 1, 1.0), ('d', 2, 1.0), ('e', 1, 1.0), ('e', 3, 2.0)) AS t(stream, doc_id, score)")
-def top_k_golden(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The best k of small streams of hits, ties by smaller id."""
-    streams = {
-        "a": (2, [(1.0, 1), (3.0, 2), (2.0, 3)]), "b": (3, [(0.0, i) for i in range(1, 6)]), "c": (5, [(1.0, 10), (2.0, 20)]),
-        "z": (0, [(1.0, 1)]), "d": (2, [(1.0, 1), (1.0, 2), (1.0, 3)]), "e": (2, [(1.0, 1), (1.0, 2), (2.0, 3)]),
-    }
-    parts = [top_n(spark.createDataFrame(hits, "score float, doc_id int"), k).select(F.lit(name).alias("stream"), "doc_id", "score") for name, (k, hits) in streams.items()]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+@query("SELECT p_partkey AS doc_id, p_size::FLOAT AS score FROM part ORDER BY p_size DESC, p_partkey LIMIT 77")
+def top_k_ties(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best 77 of hits with many equal scores, ties by smaller id."""
+    return top_n(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc_id"), F.col("p_size").cast("float").alias("score")), 77)
 
 
 @query("SELECT 1 AS step, 5::BIGINT AS id, true AS deleted UNION ALL SELECT 2, 5, false UNION ALL SELECT 3, -99, false UNION ALL SELECT 4, 5, false")

@@ -151,5 +151,5 @@ def test_all_product_lines(spark, tmp_path):
         else:
             folder = f"{tmp_path}/{at}"
             spark.createDataFrame(rows, "raw_id bigint, raw_line string").write.parquet(f"{folder}/goods_raw.parquet")
-        got = sorted((r.uniqueID, r.title, repr(r.price)) for r in QUERIES["tsv_documents_all"](spark, folder).collect())
+        got = sorted((r.uniqueID, r.title, repr(r.price)) for r in QUERIES["tsv_documents"](spark, folder).collect())
         assert got == sorted((i + 200_000, goods_line(x)[0], repr(goods_line(x)[1])) for i, x in rows)
