@@ -7,10 +7,17 @@ from pyspark.sql import functions as F
 
 from lexispark.operators.postings import distinct_postings
 from lexispark.operators.skew import skew_safe_join
+from lexispark.session import materialize
 
 
-def term_weights(postings: DataFrame, field: str = "title", spread: str = "frequency") -> tuple[DataFrame, int, int]:
-    """((term, n, global_weight), number of documents, number of postings) of one field.
+def field_postings(postings: DataFrame, field: str) -> DataFrame:
+    """(term, doc_id, frequency) of the distinct postings of one field with a positive frequency, written once for all that reads them."""
+    once = distinct_postings(postings.where(F.col("field") == field)).where(F.col("frequency") > 0)
+    return materialize(once.select("term", "doc_id", "frequency"), "postings")
+
+
+def term_weights(once: DataFrame, spread: str = "frequency") -> tuple[DataFrame, int, int]:
+    """((term, n, global_weight), number of documents, number of postings) of ``field_postings``.
 
     The global weight is one minus the entropy of the term's spread over its documents, divided by the
     logarithm of the number N of documents: 1 for a term of one document, 0 for one spread evenly over all.
@@ -18,7 +25,6 @@ def term_weights(postings: DataFrame, field: str = "title", spread: str = "frequ
     entropy is ln n, so that the weight is ln(N / n) / ln(N). With N of 1 the weight is 1. Only the first
     aggregation (per term) and the count of documents (the second) read the postings.
     """
-    once = distinct_postings(postings.where(F.col("field") == field)).where(F.col("frequency") > 0)
     documents, rows = once.groupBy("doc_id").agg(F.count("*").alias("k")).agg(F.count("*"), F.coalesce(F.sum("k"), F.lit(0))).first()
     tf = F.col("frequency").cast("double")
     if spread == "frequency":
@@ -42,8 +48,8 @@ def log_entropy(postings: DataFrame, field: str = "title", local: str = "log", s
     A posting counts once however often flushed; rows with a null field, term or doc_id, or without a positive
     frequency, have no score. An empty table gives an empty result. Ties and repeated rows: one row for each posting.
     """
-    stats, _, rows = term_weights(postings, field, spread)
-    once = distinct_postings(postings.where(F.col("field") == field)).where(F.col("frequency") > 0)
+    once = field_postings(postings, field)
+    stats, _, rows = term_weights(once, spread)
     tf = F.col("frequency").cast("double")
     weighted = once.select("doc_id", "term", (F.log1p(tf) if local == "log" else tf).alias("local"))
     if least is not None:
@@ -51,3 +57,25 @@ def log_entropy(postings: DataFrame, field: str = "title", local: str = "log", s
     joined = skew_safe_join(weighted, stats.where(F.col("n") >= least_documents), ["term"], "n", rows)
     scored = joined.select("doc_id", "term", "n", (F.col("local") * F.col("global_weight")).alias("score"))
     return scored if least is None else scored.where(F.col("score") >= least)
+
+
+def marking_terms(postings: DataFrame, field: str = "title", least: float = 2.2, least_documents: int = 2) -> DataFrame:
+    """(doc_id, term): postings of terms of at least ``least_documents`` documents with frequency times
+    ln(N / n) / ln(N) of at least ``least``, found by their log-entropy weight.
+
+    The entropy of a term's occurrences over n documents is at most ln n, so its global weight is at least
+    ln(N / n) / ln(N), and a case has a log-entropy weight of at least ``least`` times ln(1 + frequency) / frequency.
+    Postings below that are rejected by the weight alone; of the rest the formula decides. Nulls, repeated rows and empty
+    tables as in ``log_entropy``; with N of 1 there is no case.
+    """
+    once = field_postings(postings, field)
+    stats, documents, rows = term_weights(once)
+    if documents < 2:
+        return once.select("doc_id", "term").limit(0)
+    tf = F.col("frequency").cast("double")
+    nearly = least * (1 - 1e-9)  # the bound is met to the last digits where all documents have a term as often
+    weighted = once.where(tf >= nearly).select("doc_id", "term", "frequency")  # no global weight exceeds 1
+    joined = skew_safe_join(weighted, stats.where(F.col("n") >= least_documents), ["term"], "n", rows)
+    scored = joined.withColumn("score", F.log1p(tf) * F.col("global_weight"))
+    proposed = scored.where(F.col("score") >= F.log1p(tf) / tf * nearly)
+    return proposed.where(tf * (F.lit(1.0) - F.ln(F.col("n").cast("double")) / F.ln(F.lit(float(documents)))) >= least).select("doc_id", "term")

@@ -77,8 +77,8 @@ SELECT doc_id, term FROM title JOIN stats USING (term), docs
 WHERE n >= 2 AND frequency * (1.0::DOUBLE - ln(n::DOUBLE) / ln(docs::DOUBLE)) >= 2.2"""
 )
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Title terms that mark their document: raw local weight times one minus normalised entropy of an even spread."""
-    return distinct_weight.log_entropy(table(spark, sf_dir, "postings"), local="raw", spread="documents", least=2.2, least_documents=2).select("doc_id", "term")
+    """Title terms that mark their document: proposed by their log-entropy weight, decided by the formula."""
+    return distinct_weight.marking_terms(table(spark, sf_dir, "postings"))
 
 
 @query(

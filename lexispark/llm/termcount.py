@@ -3,9 +3,10 @@
 A burst trie branches by leading characters only where many terms share them; everything below a branch
 lies in a small container of suffixes with their counters. Each task fills its own trie from columnar
 batches and gives it off, container by container, whenever it holds ``SPILL`` terms, so its memory is
-bounded whatever the table. Containers of all tasks that lie under one routing prefix meet in one task,
-which merges them. Routing prefixes are cut adaptively from the weights of the containers: a prefix with
-too many terms for one task is split by its next character.
+bounded whatever the table. Containers of all tasks are then cut into routes, ranges of terms with about as
+many terms each, however long the prefixes that these share; the cuts come from a sample of the terms, of bounded
+size. The subtrees of one route meet in one task in order of their first term, and what lies before the first term of the next
+subtree is complete and leaves the trie, so a route may hold any number of terms.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ import bisect
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,8 +28,8 @@ BURST = 256
 SPILL = 200_000
 #: Most terms, as the tasks counted them, under one route.
 ROUTE_TERMS = 50_000
-#: Longest routing prefix in characters; together with ROUTE_TERMS it bounds the routing table.
-ROUTE_DEPTH = 12
+#: Sampled terms for each route, and most terms and characters of the whole sample: what the driver holds.
+SAMPLED, MOST_SAMPLED, MOST_CHARACTERS = 20, 1_000_000, 64_000_000
 _BLOCK = 100_000
 _SUBTREES = "field string, prefix string, suffixes array<string>, occurrences array<bigint>, documents array<bigint>"
 
@@ -87,6 +89,10 @@ class BurstTrie:
             elif node[1]:
                 yield prefix, node[1]
 
+    def items(self) -> list[tuple[str, list[int]]]:
+        """(term, counters) in order of the terms."""
+        return [(prefix + suffix, own[suffix]) for prefix, own in self.containers() for suffix in sorted(own)]
+
 
 def _give_off(tries: dict[str, BurstTrie]) -> Iterator[pa.RecordBatch]:
     rows = [(field, prefix, sorted(own), own) for field, trie in tries.items() for prefix, own in trie.containers()]
@@ -130,59 +136,68 @@ def _fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from _give_off(tries)
 
 
-def _cut(weights: list[tuple[str, str, int]]) -> list[tuple[str, str]]:
-    """Routes (field, first term of the range), sorted: cut where a prefix has more than ROUTE_TERMS terms."""
-    routes: list[tuple[str, str]] = []
-    held = 0
-    for field, prefix, terms in sorted(weights):
-        if not routes or routes[-1][0] != field or held + terms > ROUTE_TERMS:
-            routes.append((field, prefix))
-            held = 0
-        held += terms
-    return routes
+def _cut(sample: list[tuple[str, str]], routes: int) -> list[tuple[str, str]]:
+    """(field, first term) of each route but the first, in order: the sample is parted evenly."""
+    sample = sorted(sample)
+    cuts = {sample[len(sample) * i // routes] for i in range(1, routes)} if sample else set()
+    return sorted(cuts)
 
 
-def _route(routes: list[tuple[str, str]]):
-    """Containers -> (route, terms) parts; a container above a cut is divided at it."""
+def _route(cuts: Broadcast):
+    """Containers -> (route, first term, container) parts; a container above a cut is divided at it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = (pa.int32(), pa.string(), pa.string(), pa.string(), pa.list_(pa.string()), pa.list_(pa.int64()), pa.list_(pa.int64()))
+        names = ["route", "first", "field", "prefix", "suffixes", "occurrences", "documents"]
         for batch in batches:
             out: list[tuple] = []
             for row in batch.to_pylist():
-                field, prefix = row["field"], row["prefix"]
-                parts: dict[int, list[int]] = {}
-                for k, suffix in enumerate(row["suffixes"]):
-                    at = max(0, bisect.bisect_right(routes, (field, prefix + suffix)) - 1)
-                    parts.setdefault(at, []).append(k)
-                for at, ks in parts.items():
-                    out.append((at, field, prefix, [row["suffixes"][k] for k in ks], [row["occurrences"][k] for k in ks], [row["documents"][k] for k in ks]))
-            kinds = (pa.int64(), pa.string(), pa.string(), pa.list_(pa.string()), pa.list_(pa.int64()), pa.list_(pa.int64()))
-            names = ["route", "field", "prefix", "suffixes", "occurrences", "documents"]
+                field, prefix, suffixes = row["field"], row["prefix"], row["suffixes"]
+                a = 0
+                while a < len(suffixes):  # suffixes are sorted, so each part is a slice
+                    at = bisect.bisect_right(cuts.value, (field, prefix + suffixes[a]))
+                    b = len(suffixes)
+                    if at < len(cuts.value) and (field, prefix + suffixes[-1]) >= cuts.value[at]:
+                        b = bisect.bisect_left(suffixes, cuts.value[at], a, key=lambda x: (field, prefix + x))
+                    out.append((at, prefix + suffixes[a], field, prefix, suffixes[a:b], row["occurrences"][a:b], row["documents"][a:b]))
+                    a = b
             yield pa.record_batch([pa.array([r[i] for r in out], kind) for i, kind in enumerate(kinds)], names=names)
 
     return run
 
 
+def _terms(field: str, items: list[tuple[str, list[int]]]) -> Iterator[pa.RecordBatch]:
+    for at in range(0, len(items), 10_000):
+        part = items[at : at + 10_000]
+        columns = [pa.array([field] * len(part), pa.string()), pa.array([t for t, _ in part], pa.string()), *(pa.array([c[k] for _, c in part], pa.int64()) for k in (0, 1))]
+        yield pa.record_batch(columns, names=["field", "term", "occurrences", "documents"])
+
+
 def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Subtrees of the routes of one task -> terms with their counters."""
-    tries: dict[str, BurstTrie] = {}
+    """Subtrees of one route, in order of field and first term -> terms with their counters.
+
+    No subtree to come has a term before the first one of the next, so all before that leave the trie whenever it has grown.
+    """
+    field, trie, most = None, BurstTrie(), SPILL
     for batch in batches:
         for row in batch.to_pylist():
-            trie = tries.setdefault(row["field"], BurstTrie())
+            if row["field"] != field:
+                if field is not None:
+                    yield from _terms(field, trie.items())
+                field, trie, most = row["field"], BurstTrie(), SPILL
+            elif trie.size > most:
+                done, kept = [], BurstTrie()
+                for term, (o, d) in trie.items():
+                    if term < row["first"]:
+                        done.append((term, [o, d]))
+                    else:
+                        kept.add(term, o, d)
+                trie, most = kept, max(SPILL, 2 * kept.size)
+                yield from _terms(field, done)
             for suffix, occurrences, documents in zip(row["suffixes"], row["occurrences"], row["documents"]):
                 trie.add(row["prefix"] + suffix, occurrences, documents)
-    for field, trie in tries.items():
-        terms, occurrences, documents = [], [], []
-        for prefix, own in trie.containers():
-            for suffix, (o, d) in own.items():
-                terms.append(prefix + suffix)
-                occurrences.append(o)
-                documents.append(d)
-            if len(terms) >= 10_000:
-                yield pa.record_batch([pa.array([field] * len(terms)), pa.array(terms), pa.array(occurrences), pa.array(documents)], names=["field", "term", "occurrences", "documents"])
-                terms, occurrences, documents = [], [], []
-        if terms:
-            yield pa.record_batch([pa.array([field] * len(terms)), pa.array(terms), pa.array(occurrences), pa.array(documents)], names=["field", "term", "occurrences", "documents"])
+    if field is not None:
+        yield from _terms(field, trie.items())
 
 
 def term_counts(postings: DataFrame) -> DataFrame:
@@ -194,44 +209,31 @@ def term_counts(postings: DataFrame) -> DataFrame:
     """
     once = distinct_postings(postings).select("field", "term", "frequency")
     subtrees = materialize(once.mapInArrow(_fill, _SUBTREES), "subtrees")
-    # Weights by prefix of limited depth; small neighbours are added up before they reach the driver: of each
-    # depth at most total / ROUTE_TERMS prefixes can be heavy, and the rest is summed under their parents.
-    weights = _weights(subtrees)
-    routes = _cut(weights)
-    tasks = max(1, min(len(routes), 100_000))
-    routed = subtrees.mapInArrow(_route(routes), "route bigint, " + _SUBTREES).repartition(tasks, "route")
+    cuts = _cuts(subtrees)
+    shared = postings.sparkSession.sparkContext.broadcast(cuts)  # of at most MOST_CHARACTERS
+    routed = subtrees.mapInArrow(_route(shared), "route int, first string, " + _SUBTREES)
+    routed = routed.repartitionById(len(cuts) + 1, "route").drop("route").sortWithinPartitions("field", "first")
     return routed.mapInArrow(_merge, "field string, term string, occurrences bigint, documents bigint")
 
 
-def _weights(subtrees: DataFrame) -> list[tuple[str, str, int]]:
-    """(field, prefix, terms) at which routes may be cut.
-
-    Starting from the fields, a prefix is opened by one more character as long as it holds more than
-    ROUTE_TERMS terms, so that at most depth x total / ROUTE_TERMS prefixes, each with its next characters, are looked at.
-    """
-    sized = subtrees.select("field", F.substring("prefix", 1, ROUTE_DEPTH).alias("prefix"), F.size("suffixes").alias("terms"))
-    sized = sized.groupBy("field", "prefix").agg(F.sum("terms").alias("terms")).persist()
-    try:
-        done: list[tuple[str, str, int]] = []
-        level = [(r.field, "", r.terms) for r in sized.groupBy("field").agg(F.sum("terms").alias("terms")).collect()]
-        for depth in range(1, ROUTE_DEPTH + 1):
-            heavy = [(f, p) for f, p, n in level if n > ROUTE_TERMS and len(p) == depth - 1]
-            done += [x for x in level if (x[0], x[1]) not in set(heavy)]
-            if not heavy:
-                return done
-            opened = sized.sparkSession.createDataFrame(heavy, "field string, above string")
-            below = sized.withColumn("above", F.substring("prefix", 1, depth - 1)).join(F.broadcast(opened), ["field", "above"])
-            level = [(r.field, r.p, r.terms) for r in below.groupBy("field", F.substring("prefix", 1, depth).alias("p")).agg(F.sum("terms").alias("terms")).collect()]
-        return done + level
-    finally:
-        sized.unpersist()
+def _cuts(subtrees: DataFrame) -> list[tuple[str, str]]:
+    """Where the routes begin, from a sample of the terms by their hash, bounded in number and in characters."""
+    suffix = F.transform("suffixes", lambda s: F.length(s) + F.length("prefix"))
+    total, size = subtrees.agg(F.coalesce(F.sum(F.size("suffixes")), F.lit(0)), F.coalesce(F.sum(F.aggregate(suffix, F.lit(0).cast("bigint"), lambda a, x: a + x)), F.lit(0))).first()
+    routes = min(-(-total // ROUTE_TERMS), MOST_SAMPLED // SAMPLED)
+    if routes < 2:
+        return []
+    one_in = max(1, total // (routes * SAMPLED), -(-size // MOST_CHARACTERS))
+    terms = subtrees.select("field", F.explode(F.transform("suffixes", lambda s: F.concat("prefix", s))).alias("term"))
+    return _cut([(r.field, r.term) for r in terms.where(F.pmod(F.xxhash64("field", "term"), F.lit(one_in)) == 0).collect()], routes)
 
 
 def marked_terms(postings: DataFrame, common_percent: int = 20, rare_documents: int = 1) -> DataFrame:
     """``term_counts`` with ``mark``: 'common' for terms of more than ``common_percent`` % of the documents with any
     posting of the field, else 'rare' for terms of at most ``rare_documents`` documents, else null."""
     counts = term_counts(postings)
-    fields = distinct_postings(postings, frequency=False).select("field", "doc_id").distinct().groupBy("field").agg(F.count("*").alias("n"))
+    posted = postings.where(F.col("term").isNotNull() & F.col("field").isNotNull() & F.col("doc_id").isNotNull())
+    fields = posted.select("field", "doc_id").distinct().groupBy("field").agg(F.count("*").alias("n"))
     # A row for each field of the index: not more than the columns of a document.
     marked = counts.join(F.broadcast(fields), "field")
     mark = F.when(F.col("documents") * 100 > F.col("n") * common_percent, "common").when(F.col("documents") <= rare_documents, "rare")

@@ -2,10 +2,13 @@ import math
 import random
 from collections import Counter, defaultdict
 
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from pyspark.sql import functions as F
+
 from lexispark.llm import distinct_weight, termcount
 
 SCHEMA = "seg_no int, field string, term string, doc_id bigint, frequency int, n int, documents string, prefix string"
@@ -80,6 +83,42 @@ def test_trie(items, burst):
         termcount.BURST = before
 
 
+def test_many_terms_with_one_long_prefix(spark, monkeypatch):
+    """No route is bound to a length of prefixes: terms that differ only after 40 characters spread over many tasks."""
+    n = 200_000
+    prefix = "http://www.example.org/products/category"
+    df = spark.range(n).selectExpr("0 AS seg_no", "'tags' AS field", f"concat('{prefix}', id * 7919 % {n}) AS term", "id AS doc_id", "1 AS frequency").repartition(4)
+    seen = []
+    cuts = termcount._cuts
+    monkeypatch.setattr(termcount, "_cuts", lambda t: seen.append(cuts(t)) or seen[-1])
+    counted = termcount.term_counts(df)
+    sizes = [r.n for r in counted.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()]
+    assert sum(sizes) == n and len(sizes) >= 4 and max(sizes) < 2.5 * n / len(sizes)
+    assert counted.agg(F.sum("occurrences"), F.sum("documents"), F.countDistinct("term")).first() == (n, n, n)
+    assert len(seen[0]) + 1 >= 4 and all(len(t) > 40 for _, t in seen[0])
+
+
+def test_merge_lets_go_of_what_is_complete(monkeypatch):
+    monkeypatch.setattr(termcount, "SPILL", 50)
+    held = []
+    add = termcount.BurstTrie.add
+    monkeypatch.setattr(termcount.BurstTrie, "add", lambda self, *x: (add(self, *x), held.append(self.size))[0])
+    rows = [{"first": f"{i:05d}", "field": "f", "prefix": "0" if k else "", "suffixes": [f"{i + j:05d}"[1 if k else 0 :] for j in range(10)], "occurrences": [1] * 10, "documents": [1] * 10} for i in range(0, 4000, 10) for k in (0, 1)]
+    out = [r for b in termcount._merge(iter([pa.RecordBatch.from_pylist(rows)])) for r in b.to_pylist()]
+    assert [(r["term"], r["occurrences"]) for r in out] == [(f"{i:05d}", 2) for i in range(4000)] and max(held) < 200
+
+
+@pytest.mark.parametrize("least", [1.1, 2.2, 3.0])
+def test_marking_terms(spark, least):
+    rows = data()
+    title = {(t, d): n for (f, t, d), n in once(rows).items() if f == "title" and n > 0}
+    docs, n = len({d for _, d in title}), Counter(t for t, _ in title)
+    want = {(d, t) for (t, d), tf in title.items() if n[t] >= 2 and tf * (1 - math.log(n[t]) / math.log(docs)) >= least}
+    got = [tuple(r) for r in distinct_weight.marking_terms(spark.createDataFrame(rows, SCHEMA), least=least).collect()]
+    assert len(got) == len(set(got)) and set(got) == want and len(want) > 20
+    assert distinct_weight.marking_terms(spark.createDataFrame(rows[:1], SCHEMA)).count() == distinct_weight.marking_terms(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
 @pytest.mark.parametrize("spread", ["frequency", "documents"])
 @pytest.mark.parametrize("local", ["log", "raw"])
 def test_weights_against_brute_force(spark, spread, local):
