@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: how the vocabulary's makers split text before the merges.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: States and words kept before all are forgotten; a bound of memory only.
-MOST_STATES, MOST_WORDS, LONGEST_KEPT = 200_000, 200_000, 32
+#: States, words and pairs of tokens kept before they are forgotten; bounds of memory only.
+MOST_STATES, MOST_WORDS, LONGEST_KEPT, MOST_PAIRS = 200_000, 200_000, 32, 500_000
 
 
 class Transducer:
@@ -37,7 +37,7 @@ class Transducer:
         self.bytes_of = {r: b for b, r in ranks.items()}
         self.split = regex.compile(pattern)
         self._follows: dict[tuple[int, int], bool] = {}
-        self._whole: dict[int, bool] = {}
+        self._whole: dict[int, bool] = {}  # as many as there are tokens
         # The trie of the vocabulary: node -> {byte: node}, and the token that ends at a node.
         self.below: list[dict[int, int]] = [{}]
         self.token: list[int] = [-1]
@@ -87,6 +87,8 @@ class Transducer:
         known = self._follows.get((first, second))
         if known is None:
             both = self.bytes_of[first] + self.bytes_of[second]
+            if len(self._follows) >= MOST_PAIRS:
+                self._follows.clear()
             known = self._follows[first, second] = self.merged([bytes([x]) for x in both]) == [first, second]
         return known
 
@@ -127,9 +129,11 @@ class Transducer:
             if step[0]:
                 out += step[0]
             state = step[1]
+            if len(self._states) > MOST_STATES:  # within a long word as well; the word goes on from where it is
+                key = state[None]
+                self._forget()
+                state = self._state(key)
         out += state[None][0][-1][1]  # what stands before the last place
-        if len(self._states) > MOST_STATES:
-            self._forget()
         return out
 
     def encode(self, text: str | None) -> list[int]:

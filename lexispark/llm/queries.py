@@ -28,8 +28,13 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 @query()
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of documents whose titles look the same but are stored with different characters."""
-    docs = textform.title_documents(table(spark, sf_dir, "goods_doc"))
-    return textform.same_look_pairs(materialize(textform.text_forms(docs, "title"), "forms"), docs)
+    return textform.document_pairs(table(spark, sf_dir, "goods_doc"))
+
+
+@query()
+def p2_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with a title, its class, and how many documents look the same but are stored differently."""
+    return textform.form_links(table(spark, sf_dir, "goods_doc"))
 
 
 @query()
@@ -44,6 +49,12 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.document_pairs(table(spark, sf_dir, "goods_doc"))
 
 
+@query()
+def p3_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with a title, the class of its form, and how many documents of other forms are near it."""
+    return neardup.document_links(table(spark, sf_dir, "goods_doc"))
+
+
 _ONCE = """
 WITH once AS (SELECT field, term, doc_id, coalesce(max(frequency), 0)::BIGINT AS frequency FROM postings
               WHERE term IS NOT NULL AND field IS NOT NULL AND doc_id IS NOT NULL GROUP BY ALL),
@@ -107,16 +118,26 @@ def _capacities(spark: SparkSession, sf_dir: str) -> list[tuple[int, int]]:
     return [(r.capacity_id, r.capacity_tokens) for r in table(spark, sf_dir, "pack_capacity").select("capacity_id", "capacity_tokens").collect()]
 
 
+def _sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return materialize(bpe.encode_texts(table(spark, sf_dir, "documents"), "doc_id", "text", counts_only=True), "sizes")
+
+
 @query()
 def p8_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text assigned to containers, for each capacity."""
-    sizes = bpe.encode_texts(table(spark, sf_dir, "documents"), "doc_id", "text", counts_only=True)
-    return packing.pack(materialize(sizes, "sizes"), "doc_id", _capacities(spark, sf_dir))
+    return packing.pack(_sizes(spark, sf_dir), "doc_id", _capacities(spark, sf_dir))
+
+
+@query("SELECT NULL::VARCHAR AS rule, NULL::INT AS capacity_id, NULL::BIGINT AS n WHERE false")
+def p8_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the packing breaks of its rules (capacities, lost or doubled tokens, needless splits): nothing."""
+    sizes, capacities = _sizes(spark, sf_dir), _capacities(spark, sf_dir)
+    return packing.violations(packing.pack(sizes, "doc_id", capacities), sizes, "doc_id", capacities)
 
 
 @query()
 def p8_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How full the containers of each capacity are."""
+    """How full the containers of each capacity are, and the fewest that could hold the tokens."""
     return packing.fill(p8_packed(spark, sf_dir), _capacities(spark, sf_dir))
 
 
@@ -134,7 +155,23 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reading.demanding(reading.reading_levels(table(spark, sf_dir, "documents")))
 
 
+@query(
+    _LIX
+    + rf""", texts AS (SELECT d.doc_id, list_distinct(list_transform(regexp_extract_all(d.text, '\p{{L}}+'), lambda w: lower(w))) AS words, graded, lix,
+    strpos('13579bdf', md5(d.doc_id::VARCHAR)[1]) > 0 AS odd FROM documents d JOIN lix USING (doc_id)),
+pairs AS (SELECT unnest(words) AS word, odd, CASE WHEN graded THEN floor(lix / {reading.BAND})::INT END AS grade FROM texts),
+rows_of AS (SELECT word, count(*) AS rows FROM pairs GROUP BY word),
+ranked AS (SELECT word, odd, grade, row_number() OVER (PARTITION BY word, odd ORDER BY grade) AS k, count(*) OVER (PARTITION BY word, odd) AS n FROM pairs WHERE grade IS NOT NULL),
+graded_words AS (SELECT word, odd, min(grade) AS grade FROM ranked WHERE n >= {reading.LEAST_TEXTS} AND k >= n * {reading.ACQUIRED}::DOUBLE GROUP BY word, odd)
+SELECT word, max(grade) FILTER (odd) AS grade0, max(grade) FILTER (NOT odd) AS grade1, any_value(rows) AS rows FROM graded_words JOIN rows_of USING (word) GROUP BY word"""
+)
+def p9_grades(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The acquisition grade of every word, by each half of the texts."""
+    texts = reading.surface(table(spark, sf_dir, "documents")).withColumn("half", reading.half(F.col("doc_id")))
+    return reading.word_grades(texts.select(F.explode("words").alias("word"), "lix", "graded", "half"))
+
+
 @query()
 def p9_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Predicted reading level of every text."""
-    return reading.reading_levels(table(spark, sf_dir, "documents")).select("doc_id", F.round("level", 4).alias("level"), "graded")
+    return reading.reading_levels(table(spark, sf_dir, "documents")).select("doc_id", F.round("level", 4).alias("level"), "graded", "half")

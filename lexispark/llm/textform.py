@@ -16,31 +16,31 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window
 
+from lexispark.session import materialize
+
 #: Characters without a shape of their own that are not of category Cc or Cf.
 SHAPELESS = "\u034f\u115f\u1160\u17b4\u17b5\u180b\u180c\u180d\u180f\u3164\uffa0"
 #: Short hyphens with the shape of U+002D.
 HYPHENS = "\u2010\u2011"
 #: Letters that a look-alike must not replace, as a dot or a stroke tells them apart.
 KEPT = "ıȷ"
-#: Look-alikes used only where the session's JVM has no Unicode security data.
-FALLBACK = dict(zip("аеорсухіѕјһԁԛԝօɡνοΑΒΕΖΗΙΚΜΝΟΡΤΥΧАВЕЅІЈКМНОРСТХ", "aeopcyxisjhdqwogvoABEZHIKMNOPTYXABESIJKMHOPCTX"))
 
 
 def _skeletons(spark: SparkSession, letters: list[str]) -> dict[str, str]:
-    """Letter -> prototype by the Unicode security data in Spark's own ICU library; {} if it isn't there."""
-    try:
-        checker = spark._jvm.com.ibm.icu.text.SpoofChecker.Builder().build()
-        out: dict[str, str] = {}
-        for at in range(0, len(letters), 4000):
-            part = letters[at : at + 4000]
-            # One call for many letters; U+E000 (private use) parts them and is its own prototype.
-            got = checker.getSkeleton("\ue000".join(part)).split("\ue000")
-            if len(got) != len(part):
-                return {}
-            out.update(zip(part, got))
-        return out
-    except Exception:  # noqa: BLE001  a session without that class (or without a JVM at hand)
-        return {}
+    """Letter -> prototype by the Unicode security data in Spark's own ICU library; an error without it."""
+    builder = spark._jvm.com.ibm.icu.text.SpoofChecker.Builder
+    if not callable(builder):
+        raise RuntimeError("look-alikes need the ICU library that comes with Spark")
+    checker = builder().build()
+    out: dict[str, str] = {}
+    for at in range(0, len(letters), 4000):
+        part = letters[at : at + 4000]
+        # One call for many letters; U+E000 (private use) parts them and is its own prototype.
+        got = checker.getSkeleton("\ue000".join(part)).split("\ue000")
+        if len(got) != len(part):
+            raise RuntimeError("the ICU library does not map letters one by one")
+        out.update(zip(part, got))
+    return out
 
 
 def _is_han(c: str) -> bool:
@@ -98,16 +98,14 @@ def _wanted(c: str) -> str | None:
 
 
 @functools.lru_cache(4)
-def _tables(icu: bool, key: int) -> tuple[list[tuple[str, list[tuple[str, int]]]], dict[str, str], frozenset[str]]:
+def _tables(key: int) -> tuple[list[tuple[str, list[tuple[str, int]]]], dict[str, str], frozenset[str]]:
     """(code point -> parts with combining class), (pair -> composed), second halves of class 0."""
     everything = [chr(i) for i in range(0x20000) if not 0xD800 <= i < 0xE000 and unicodedata.category(chr(i)) != "Cn"]
     everything += [chr(i) for r in ((0x2F800, 0x2FA1E), (0xE0000, 0xE0080), (0xE0100, 0xE01F0)) for i in range(*r)]
     simple = {c: _wanted(c) for c in everything if not 0xAC00 <= ord(c) <= 0xD7A3}
     raised = ("<super>", "<sub>", "<circle>")
     letters = [c for c, d in simple.items() if d == c and unicodedata.category(c)[0] == "L" and c not in KEPT and not unicodedata.decomposition(c).startswith(raised) and not 0x1100 <= ord(c) <= 0x11FF]
-    session = SparkSession.getActiveSession()
-    like = look_alikes(_skeletons(session, letters)) if icu and session is not None else {}
-    like = like or FALLBACK
+    like = look_alikes(_skeletons(SparkSession.active(), letters))
     mapping = []
     for c, d in simple.items():
         to = "" if d is None else "".join(like.get(x, x) for x in d)
@@ -158,7 +156,7 @@ def _compose(marks: Column, pairs: dict[str, str]) -> Column:
     return F.aggregate(marks, start, step, lambda s: F.concat(s["base"], s["rest"]))
 
 
-def text_forms(texts: DataFrame, column: str, icu: bool = True) -> DataFrame:
+def text_forms(texts: DataFrame, column: str, plain: bool = True) -> DataFrame:
     """(text, form), one row for each distinct non-null value of ``texts[column]``.
 
     The empty text and texts of gaps or shapeless characters alone have the form ''. Forms have no gap at
@@ -166,24 +164,27 @@ def text_forms(texts: DataFrame, column: str, icu: bool = True) -> DataFrame:
     long text takes a longer sort, not more rows in memory. An empty table gives an empty result; other
     columns are ignored.
 
-    Texts without any entry of the table are their own form and skip the explosion.
+    With ``plain``, texts without any entry of the table, and stretches without one, are not taken apart, as each of their
+    characters is its own form whatever stands beside it; without it every code point is. The forms are the same.
     """
     spark = texts.sparkSession
-    mapping, pairs, second = _tables(icu, id(spark.sparkContext))
+    mapping, pairs, second = _tables(id(spark.sparkContext))
     kinds = T.StructType(
         [T.StructField("ch", T.StringType()), T.StructField("parts", T.ArrayType(T.StructType([T.StructField("c", T.StringType()), T.StructField("ccc", T.IntegerType())])))]
     )
     # About 10 000 rows by the rule above: a bound set by Unicode, not by the data.
     entries = spark.createDataFrame(mapping, kinds)
 
-    once = texts.select(F.col(column).cast("string").alias("text")).where(F.col("text").isNotNull()).distinct()
-    one = _plain(mapping, second)
-    plain = F.col("text").rlike(f"\\A[{one} ]*\\z") & ~F.col("text").rlike("\\A |  | \\z")
     key = F.unhex(F.md5(F.col("text"))).alias("key")
-    odd = once.where(~plain).select("text", key)  # the key here, below the explosion, or it would be made for every row of that
+    one = _plain(mapping, second)
+    whole = F.col("text").rlike(f"\\A[{one} ]*\\z") & ~F.col("text").rlike("\\A |  | \\z")
+    once = texts.select(F.col(column).cast("string").alias("text")).where(F.col("text").isNotNull()).distinct()
+    # Written once for all that reads it; the key here, below the explosion, or it would be made for every row of that.
+    once = materialize(once.select("text", key, (whole if plain else F.lit(False)).alias("plain")), "texts")
+    odd = once.where(~F.col("plain")).select("text", "key")
 
     # A stretch of plain characters keeps together, but for its last one, on which a mark may follow.
-    stretch = F.regexp_extract_all("text", F.lit(f"({one}+(?={one})|[\\s\\S])"), F.lit(1))
+    stretch = F.regexp_extract_all("text", F.lit(f"({one}+(?={one})|[\\s\\S])" if plain else "([\\s\\S])"), F.lit(1))
     points = odd.select("key", F.posexplode(stretch).alias("pos", "ch"))
     points = points.join(F.broadcast(entries), "ch", "left").select(
         "key", "pos", F.posexplode(F.coalesce("parts", F.array(F.struct(F.col("ch").alias("c"), F.lit(0).alias("ccc"))))).alias("sub", "part")
@@ -203,7 +204,7 @@ def text_forms(texts: DataFrame, column: str, icu: bool = True) -> DataFrame:
     built = built.select("key", F.trim(F.regexp_replace(F.array_join(F.col("all.c"), ""), " +", " ")).alias("form"))
 
     changed = odd.join(built, "key", "left").select("text", F.coalesce("form", F.lit("")).alias("form"))
-    return once.where(plain).select("text", F.col("text").alias("form")).unionByName(changed)
+    return once.where("plain").select("text", F.col("text").alias("form")).unionByName(changed)
 
 
 def title_documents(goods: DataFrame) -> DataFrame:
@@ -217,7 +218,7 @@ def title_documents(goods: DataFrame) -> DataFrame:
 
 def document_forms(goods: DataFrame) -> DataFrame:
     """(unique_id, title, form) of every document with a title."""
-    docs = title_documents(goods)
+    docs = materialize(title_documents(goods), "titles")
     return docs.join(text_forms(docs, "title").withColumnRenamed("text", "title"), "title").select("unique_id", "title", "form")
 
 
@@ -236,6 +237,25 @@ def same_look_pairs(forms: DataFrame, docs: DataFrame) -> DataFrame:
     return met.select(F.least("ua", "ub").alias("unique_id_a"), F.greatest("ua", "ub").alias("unique_id_b"))
 
 
+def document_pairs(goods: DataFrame) -> DataFrame:
+    """``same_look_pairs`` of the documents of a table."""
+    docs = materialize(title_documents(goods), "titles")
+    return same_look_pairs(materialize(text_forms(docs, "title"), "forms"), docs)
+
+
+def form_links(goods: DataFrame) -> DataFrame:
+    """(unique_id, class_id, links), one row for each document with a title: the smallest id with the same form, and the number
+    of documents with that form whose title is another. Work and rows grow with the documents, not with pairs of them.
+    """
+    docs = materialize(title_documents(goods), "titles")
+    by_title = docs.groupBy("title").agg(F.count("*").alias("own"), F.min("unique_id").alias("least"))
+    spelled = by_title.join(text_forms(docs, "title").withColumnRenamed("text", "title"), "title")
+    spelled = spelled.select(F.unhex(F.md5("title")).alias("t"), F.unhex(F.md5("form")).alias("f"), "own", "least")
+    classes = spelled.groupBy("f").agg(F.sum("own").alias("all"), F.min("least").alias("class_id"))
+    counted = spelled.join(classes, "f").select("t", "class_id", (F.col("all") - F.col("own")).alias("links"))
+    return docs.select("unique_id", F.unhex(F.md5("title")).alias("t")).join(counted, "t").select("unique_id", "class_id", "links")
+
+
 def form_classes(goods: DataFrame) -> DataFrame:
     """(unique_id, class_id, form): one row per document; ``class_id`` is the smallest id with that form."""
     forms = document_forms(goods)

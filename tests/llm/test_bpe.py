@@ -1,3 +1,4 @@
+import base64
 import os
 import random
 
@@ -65,3 +66,14 @@ def test_tables(spark, reference):
     assert bpe.encode_texts(df.limit(0), "doc_id", "text").count() == 0
     odd = spark.createDataFrame([(1, [99999999, 65]), (2, None), (3, [])], "doc_id bigint, ids array<int>")
     assert {r.doc_id: r.text for r in bpe.decode_ids(odd, "doc_id").collect()} == {1: "�b", 2: None, 3: ""}
+
+
+def test_memory_is_bounded_within_a_long_word(monkeypatch):
+    monkeypatch.setattr(bpe, "MOST_STATES", 40)
+    monkeypatch.setattr(bpe, "MOST_PAIRS", 30)
+    small, usual = (bpe.Transducer({base64.b64decode(a): int(b) for a, b in (x.split() for x in open(bpe.VOCABULARY, "rb").read().splitlines() if x)}) for _ in range(2))
+    r = random.Random(1)
+    word = "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(3000))
+    got = small.encode(word)
+    monkeypatch.undo()
+    assert got == usual.encode(word) and len(small._states) <= 41 and len(small._follows) <= 30

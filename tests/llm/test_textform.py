@@ -1,3 +1,4 @@
+import random
 import unicodedata
 
 import pytest
@@ -66,9 +67,45 @@ def test_composition_agrees_with_unicode(spark):
     assert all(r.form == unicodedata.normalize("NFC", r.text) for r in got)
 
 
-def test_without_unicode_data(spark):
-    got = textform.text_forms(spark.createDataFrame([("lасе",)], "t string"), "t", icu=False).first()
-    assert got.form == "lace"
+def test_plain_characters_are_their_own_form(spark):
+    """The short cut for plain characters and stretches changes nothing: every assigned code point, alone and in company, both ways."""
+    points = [chr(c) for c in range(1, 0x20000) if not 0xD800 <= c < 0xE000 and unicodedata.category(chr(c)) not in ("Cn", "Co")]
+    texts = [*points, *(f"a{c}b" for c in points), *(f"漢{c}\u0301" for c in points if ord(c) < 0x3000), *("".join(points[i : i + 50]) for i in range(0, len(points), 25))]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    quick, full = ({r.text: r.form for r in textform.text_forms(df, "t", plain).collect()} for plain in (True, False))
+    assert len(quick) == len(set(texts)) and quick == full
+
+
+def test_without_unicode_data_there_is_an_error():
+    class Missing:
+        class _jvm:
+            class com:
+                class ibm:
+                    class icu:
+                        class text:
+                            class SpoofChecker:
+                                Builder = None
+
+    with pytest.raises(RuntimeError):
+        textform._skeletons(Missing, ["a"])
+
+
+def test_pairs_and_links_against_brute_force(spark):
+    r = random.Random(6)
+    alike = {"a": "aаａ", "o": "oоο", "e": "eе", " ": [" ", "  ", "\u3000"], "-": "-‐", "c": "cс"}
+    rows = []
+    for i in range(400):
+        base = r.choice(["cocoa cake", "a-one cola", "eco lace", "Éclair oaco", "cocoa Cake"])
+        rows.append((i, "".join(r.choice(alike[x]) if x in alike and r.random() < 0.1 else x for x in base)))
+    goods = spark.createDataFrame(rows, "unique_id bigint, title string")
+    back = {y: x for x, ys in alike.items() for y in ys}
+    plain = {i: "".join(back.get(x, x) for x in t.replace("  ", " ")) for i, t in rows}
+    title = dict(rows)
+    pairs = {(i, j) for i in title for j in title if i < j and plain[i] == plain[j] and title[i] != title[j]}
+    assert {tuple(x) for x in textform.document_pairs(goods).collect()} == pairs and len(pairs) > 1000
+    links = {x.unique_id: (x.class_id, x.links) for x in textform.form_links(goods).collect()}
+    assert links == {i: (min(j for j in title if plain[j] == plain[i]), sum(i in p for p in pairs)) for i in title}
+    assert textform.form_links(goods.limit(0)).count() == 0
 
 
 def test_pairs_and_classes(spark):
