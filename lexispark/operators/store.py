@@ -23,10 +23,12 @@ import math
 import os
 import time
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import asdict, dataclass, field, replace
 from urllib.parse import unquote, urlparse
 
 import pyarrow as pa
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -217,19 +219,25 @@ class IndexStore:
             # A small segment is one file of each table, which needs no sample of its keys.
             return (df.repartition(1) if docs <= ONE_FILE else df.repartitionByRange(*keys)).sortWithinPartitions(*keys)
 
-        sort(stored, "doc_id").write.parquet(f"{base}/stored")
-        # The range has doc_id in it, so the postings of a hot term are cut into several files.
-        sort(postings, "field", "term", "doc_id").write.partitionBy("field").parquet(f"{base}/postings")
-        counted = self._read([f"{segment}/postings"], POSTINGS).groupBy("field", "term").agg(F.count("*").alias("df"))
-        sort(counted, "field", "term").write.partitionBy("field").parquet(f"{base}/terms")
-        points = {}
-        for s in specs:
-            if s.type == DOUBLE and s.tokenized:
-                kind = point_type(stored.schema[s.name].dataType)
-                rows = stored.select(F.col(s.name).cast(kind).alias("value"), "doc_id").where("value IS NOT NULL")
-                sort(rows, "value", "doc_id").write.parquet(f"{base}/points-{s.name}")
-                cuts = self._cuts(f"{segment}/points-{s.name}", kind) if docs > ONE_FILE else []
-                points[s.name] = {"type": kind, "cuts": cuts}
+        def write_postings() -> None:
+            # The range has doc_id in it, so the postings of a hot term are cut into several files.
+            sort(postings, "field", "term", "doc_id").write.partitionBy("field").parquet(f"{base}/postings")
+            counted = self._read([f"{segment}/postings"], POSTINGS).groupBy("field", "term").agg(F.count("*").alias("df"))
+            sort(counted, "field", "term").write.partitionBy("field").parquet(f"{base}/terms")
+
+        def write_points(name: str, kind: str) -> dict:
+            rows = stored.select(F.col(name).cast(kind).alias("value"), "doc_id").where("value IS NOT NULL")
+            sort(rows, "value", "doc_id").write.parquet(f"{base}/points-{name}")
+            return {"type": kind, "cuts": self._cuts(f"{segment}/points-{name}", kind) if docs > ONE_FILE else []}
+
+        numeric = {s.name: point_type(stored.schema[s.name].dataType) for s in specs if s.type == DOUBLE and s.tokenized}
+        thread = inheritable_thread_target(self.spark)
+        with ThreadPoolExecutor(4) as pool:  # tables that don't wait for one another
+            jobs = [pool.submit(thread(lambda: sort(stored, "doc_id").write.parquet(f"{base}/stored"))), pool.submit(thread(write_postings))]
+            point_jobs = {name: pool.submit(thread(write_points), name, kind) for name, kind in numeric.items()}
+            for job in jobs:
+                job.result()
+            points = {name: job.result() for name, job in point_jobs.items()}
         return {"name": segment, "docs": docs, "stats": stats, "points": points}
 
     def _cuts(self, part: str, kind: str) -> list[tuple[float, int, float | None]]:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -19,7 +18,7 @@ from lexispark.operators.skew import heavy_keys, key_counts
 from lexispark.operators.store import IndexStore, merge_indexes
 from lexispark.plans.query import MUST, SHOULD, BooleanQuery, NumericRangeQuery, StringQuery, TermQuery
 from lexispark.plans.workload import random_ranges
-from lexispark.session import shared_dir, table
+from lexispark.session import scratch, table
 from lexispark.sources.records import parse_records
 from lexispark.sources.tsv import load_documents, load_titles, load_words, parse_goods
 from lexispark.streaming.ingest import ingest
@@ -453,7 +452,7 @@ def pk_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 def append_then_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The parts appended as two segments of a store and compacted: the same scores as one index."""
     part = table(spark, sf_dir, "part").select("p_partkey", F.col("p_name").alias("title"), F.col("p_retailprice").alias("price"))
-    store = IndexStore(spark, f"{shared_dir(spark)}/index-{uuid.uuid4().hex}")
+    store = IndexStore(spark, scratch(spark, "index"))
     store.append(part.where("p_partkey % 2 = 0"), "p_partkey")
     store.append(part.where("p_partkey % 2 = 1"), "p_partkey")
     store.merge()
@@ -464,7 +463,7 @@ def append_then_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
 def range_after_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The smallest prices from 910 on, out of the sorted points of two merged segments, with the documents."""
     part = table(spark, sf_dir, "part").select("p_partkey", F.col("p_name").alias("title"), F.col("p_retailprice").alias("price"))
-    store = IndexStore(spark, f"{shared_dir(spark)}/index-{uuid.uuid4().hex}")
+    store = IndexStore(spark, scratch(spark, "index"))
     for k in range(2):
         store.append(part.where(f"p_partkey % 2 = {k}"), "p_partkey")
     store.merge()
@@ -474,7 +473,7 @@ def range_after_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT p_partkey AS doc_id, p_name AS title, p_retailprice AS price FROM part")
 def stream_ingest_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All parts through two streams of files, each with its own batches from 0 on."""
-    work = f"{shared_dir(spark)}/index-{uuid.uuid4().hex}"
+    work = scratch(spark, "index")
     part = table(spark, sf_dir, "part").select("p_partkey", F.col("p_name").alias("title"), F.col("p_retailprice").alias("price"))
     store = IndexStore(spark, f"{work}/index")
     for k in range(2):
@@ -488,7 +487,7 @@ def stream_ingest_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 def store_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Keys taken, a batch that is in, an old format, a wiped folder."""
     nation = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
-    store = IndexStore(spark, f"{shared_dir(spark)}/index-{uuid.uuid4().hex}")
+    store = IndexStore(spark, scratch(spark, "index"))
 
     def outcome(call: Callable[[], object]) -> str:
         before = store.manifest()["next"]
@@ -660,7 +659,7 @@ def word_list_source(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _goods_file(spark: SparkSession, sf_dir: str) -> str:
     """Part names and prices written as a product file of one part, in order of the key."""
-    path = f"{shared_dir(spark)}/goods-{uuid.uuid4().hex}"
+    path = scratch(spark, "goods")
     part = table(spark, sf_dir, "part").repartitionByRange(1, "p_partkey").sortWithinPartitions("p_partkey")
     part.select(F.concat_ws("\t", F.col("p_partkey").cast("string"), "p_name", F.col("p_retailprice").cast("string")).alias("value")).write.text(path)
     return path
@@ -714,7 +713,7 @@ def top_k_ties(spark: SparkSession, sf_dir: str) -> DataFrame:
 def delete_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Deleting a document, deleting it again, an unknown one, and whether it can still be fetched."""
     part = table(spark, sf_dir, "part").select("p_partkey", F.col("p_name").alias("title"))
-    store = IndexStore(spark, f"{shared_dir(spark)}/index-{uuid.uuid4().hex}")
+    store = IndexStore(spark, scratch(spark, "index"))
     store.append(part, "p_partkey")
     steps = [(1, 5, store.delete([5])[0]), (2, 5, store.delete([5])[0]), (3, -99, store.delete([-99])[0])]
     there = Searcher(store.open()).docs(spark.createDataFrame([(5, 1.0)], "doc_id bigint, score float")).count() > 0
@@ -725,7 +724,7 @@ def delete_results(spark: SparkSession, sf_dir: str) -> DataFrame:
 def segment_info(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a store of two segments says of itself."""
     part = table(spark, sf_dir, "part").select("p_partkey", F.col("p_name").alias("title"))
-    store = IndexStore(spark, f"{shared_dir(spark)}/index-{uuid.uuid4().hex}")
+    store = IndexStore(spark, scratch(spark, "index"))
     for k in range(2):
         store.append(part.where(f"p_partkey % 2 = {k}"), "p_partkey")
     return store.segment_info().drop("created_ms")

@@ -25,19 +25,23 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+def scratch(spark: SparkSession, tag: str) -> str:
+    """A new path in the shared folder, under the folder of this application."""
+    return f"{shared_dir(spark)}/lexispark-{spark.sparkContext.applicationId}/{tag}-{uuid.uuid4().hex}"
+
+
 def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` as a Parquet table in the shared folder and read it back.
 
     The result has no lineage beyond the files, which all executors can read, so that the loss of an
     executor never recomputes what lies before it.
     """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/lexispark-{spark.sparkContext.applicationId}/{tag}-{uuid.uuid4().hex}"
+    path = scratch(df.sparkSession, tag)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def remove_materialized(spark: SparkSession) -> None:
-    """Remove every table that this application has materialized; none of the results that read them may be used after it."""
+def remove_scratch(spark: SparkSession) -> None:
+    """Remove everything that this application has put under ``scratch``; no result that reads it may be used after it."""
     at = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/lexispark-{spark.sparkContext.applicationId}")
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
