@@ -113,6 +113,16 @@ class Index:
         """(field, term, df): rows to be summed by term; deleted documents count."""
         return self.postings.select("field", "term", F.lit(1).alias("df")) if self.terms is None else self.terms
 
+    def cache(self) -> Index:
+        """The index with its postings and frequencies kept by the executors as they are first read; ``close`` frees them."""
+        return replace(self, postings=self.postings.persist(), terms=self.terms and self.terms.persist())
+
+    def close(self) -> None:
+        """Free what ``cache`` keeps; the index can still be read."""
+        self.postings.unpersist()
+        if self.terms is not None:
+            self.terms.unpersist()
+
     def num_docs(self) -> DataFrame:
         """One row (num_docs): live documents."""
         return self.live(self.stored.select("doc_id")).agg(F.count("*").alias("num_docs"))

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexispark.fields import KEY
@@ -50,6 +50,11 @@ class Searcher:
         hits = compile_query(query, self.index)
         return hits if n is None else top_n(hits, n)
 
+    def visit(self, query: NumericRangeQuery, wanted: Column | None = None) -> DataFrame:
+        """(doc_id, value) of every live point of a range for which a condition on these two columns holds; it reaches the scan."""
+        points = range_points(query, self.index)
+        return points if wanted is None else points.where(wanted)
+
     def docs(self, hits: DataFrame, columns: list[str] | None = None) -> DataFrame:
         """Stored columns (those named, or all) and score of every hit; nothing for a deleted or unknown document."""
         return self._docs(hits, columns)

@@ -330,6 +330,12 @@ def range_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Searcher(_part_index(spark, sf_dir)).search(NumericRangeQuery("price", 910, 930))
 
 
+@query("SELECT p_partkey AS doc_id, p_retailprice AS value FROM part WHERE p_retailprice BETWEEN 910 AND 1100 AND p_retailprice - floor(p_retailprice) < 0.5")
+def range_visited(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The points of a range that a visitor takes."""
+    return Searcher(_part_index(spark, sf_dir)).visit(NumericRangeQuery("price", 910, 1100), F.col("value") - F.floor("value") < 0.5)
+
+
 @query("SELECT p_partkey AS doc_id, 0::FLOAT AS score FROM part WHERE p_retailprice BETWEEN 910 AND 930 ORDER BY p_retailprice, p_partkey LIMIT 25")
 def range_smallest_n(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Searcher(_part_index(spark, sf_dir)).search(NumericRangeQuery("price", 910, 930), 25)

@@ -151,6 +151,17 @@ def test_plans_of_a_stored_index(spark, wide):
     assert "In(term, [" in text and "/stored" not in text and "SortMergeJoin" not in text
 
 
+def test_a_cached_index_can_be_closed(spark, wide):
+    index = wide.open().cache()
+    try:
+        assert "InMemoryTableScan" in plan(Searcher(index).search(TermQuery("title", "dog"), 5))
+    finally:
+        index.close()
+    found = Searcher(index).search(TermQuery("title", "dog"), 5)
+    assert "InMemoryTableScan" not in plan(found) and found.count() == 5
+    assert "GreaterThan(value,499.0)" in plan(Searcher(index).visit(NumericRangeQuery("price", 1, 600), F.col("value") > 499))
+
+
 def test_large_batches_take_the_other_join(spark, wide, monkeypatch):
     search = Searcher(wide.open())
     asked = spark.createDataFrame([(i, "title", "ant bee cat dog eel fox gnu zzz yyy".split()[i % 9]) for i in range(40)], "qid int, field string, term string")
