@@ -115,9 +115,10 @@ class Searcher:
         asked = asked.withColumn("level", F.when((level <= LEVELS) & near, level).otherwise(-1))
         bin_of = lambda c: F.when(F.col("level") < 0, F.lit(0)).otherwise(F.floor(c / size(F.col("level"))).cast("bigint"))
         asked = asked.withColumn("bin", F.explode(F.sequence(bin_of(F.col("lower")), bin_of(F.col("upper")))))
-        used = sorted(r.level for r in asked.select("level").distinct().collect())  # LEVELS + 2 rows at most
+        asked, rows = self._bounded(asked)
+        used = {r.level for r in asked.select("level").distinct().collect()} if rows is None else set(rows.column("level").to_pylist())  # LEVELS + 2 at most
         points = self.index.points(field).select("doc_id", F.col("value").cast("double").alias("value"))
-        placed = points.withColumn("level", F.explode(F.array(*[F.lit(k) for k in used or [0]]))).withColumn("bin", bin_of(F.col("value")))
+        placed = points.withColumn("level", F.explode(F.array(*[F.lit(k) for k in sorted(used) or [0]]))).withColumn("bin", bin_of(F.col("value")))
         hits = self.index.live(placed.join(asked, ["level", "bin"]).where(F.col("value").between(F.col("lower"), F.col("upper")))).select("qid", "doc_id", "value")
         ranked = hits.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy("value", "doc_id")))
         return ranked if n is None else ranked.where(F.col("rank") <= n)
