@@ -436,10 +436,10 @@ def bm25_after_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Searcher(_with_deletes(spark, sf_dir)).search(TermQuery("title", "widget"))
 
 
-@query(f"SELECT p_partkey AS doc_id, {_STORED}, 0::FLOAT AS score FROM part WHERE p_retailprice BETWEEN 910 AND 930 AND p_partkey NOT IN ({_DEAD})")
+@query(f"SELECT p_partkey AS doc_id, {_STORED}, 0::FLOAT AS score FROM part WHERE p_retailprice BETWEEN 910 AND 990 AND p_partkey NOT IN ({_DEAD})")
 def delete_then_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     search = Searcher(_with_deletes(spark, sf_dir))
-    return search.docs(search.search(NumericRangeQuery("price", 910, 930)))
+    return search.docs(search.search(NumericRangeQuery("price", 910, 990)))
 
 
 @query(f"SELECT count(*) AS num_docs, (SELECT max(p_partkey) FROM part) AS total_docs FROM part WHERE p_partkey NOT IN ({_DEAD})")
